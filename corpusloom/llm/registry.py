@@ -6,14 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .frames import table
+from .packing import pack
 from .recompression import dedup_substrings
+from .runlength_dedup import dedup_bytes
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
 def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op10_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_recompression_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_sum_of_squares_packing, op3_run_length_dedup, op4_recompression_dedup, op10_suffix_automaton_decontamination)
+}
 
 ORACLE_SQL: dict[str, str] = {}
