@@ -111,12 +111,16 @@ def anchored(symbols: np.ndarray, before: np.ndarray, window: int, rounds: int):
     return text[at], start[at] - gaps[text[at]] - 1, np.diff(at, append=len(start)), anchor[at], prints[start]
 
 
+PACKED = ("docs", "starts", "counts", "anchors", "body")
+RUNS = "bucket int, " + ", ".join(f"{x} binary" for x in PACKED)
+
+
 def emitter(window: int, rounds: int):
     def emit(n: int):
         def run(batches):
             import pyarrow as pa
 
-            schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("docs", "starts", "counts", "anchors", "body"))])
+            schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in PACKED)])
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 data, off = buffers(batch.column(1))
@@ -216,4 +220,4 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, rounds: int = R
     Other columns are ignored unless named in `carry`.  An empty table gives an empty result.  kept_text joins words by one space."""
     types = dict(documents.dtypes)
     finished = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {types[c]}" for c in carry)
-    return remove_repeats(documents, emitter(window, rounds), judge_with(window), finish, finished, 1_500_000, carry)
+    return remove_repeats(documents, emitter(window, rounds), judge_with(window), finish, finished, RUNS, 1_500_000, carry)

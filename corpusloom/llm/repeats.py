@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .frames import buckets, cut, release, small_batches
 
-RUNS = "bucket int, docs binary, starts binary, counts binary, anchors binary, body binary"
 SPANS = "doc_id long, start int, stop int"
 
 
@@ -26,7 +25,7 @@ def rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def remove_repeats(
-    documents: DataFrame, emit: Callable, judge: Callable, finish: Callable, finished: str, bucket_bytes: int, carry: list[str] = []
+    documents: DataFrame, emit: Callable, judge: Callable, finish: Callable, finished: str, schema: str, bucket_bytes: int, carry: list[str] = []
 ) -> DataFrame:
     """`emit(n)` makes the mapper from texts to packed runs over n buckets, `judge` finds a bucket's spans
     that start in a smaller document too, `finish` applies a document's spans.  doc_id is unique and not null for
@@ -35,8 +34,9 @@ def remove_repeats(
     small_batches(spark)
     n = buckets(documents, bucket_bytes)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = texts.where("doc_id is not null").mapInArrow(emit(n), RUNS)
+    runs = texts.where("doc_id is not null").mapInArrow(emit(n), schema)
     spans = cut(runs.groupBy("bucket").applyInArrow(judge, SPANS))
+    del runs
     release(spark)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))
     kept = documents.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", F.col("text").cast("string").alias("text"), *carry)

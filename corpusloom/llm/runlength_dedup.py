@@ -32,12 +32,12 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int):
-    """Runs of windows under one gram: (text, first window's byte in the piece, windows, anchor)."""
+    """Runs of windows under one gram: (text, first window's byte in the piece, windows, bytes before the gram in the first window, anchor)."""
     per = np.maximum(np.diff(off) - window + 1, 0)
     start = ranges(off[:-1], per)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64)
+        return none, none, none, none, np.zeros(0, U64)
     grams = gram_hashes(data, gram)
     least = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
     width, have = window - gram + 1, 1
@@ -47,7 +47,11 @@ def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int):
         have += step
     at = (least[start] & U64(0xFFFFFFFF)).astype(np.int64)
     head = np.flatnonzero(np.diff(at, prepend=-1))
-    return np.repeat(np.arange(len(per)), per)[head], start[head], np.diff(head, append=len(start)), mix(grams[at[head]])
+    return np.repeat(np.arange(len(per)), per)[head], start[head], np.diff(head, append=len(start)), (at - start)[head], mix(grams[at[head]])
+
+
+PACKED = ("docs", "starts", "counts", "befores", "anchors", "body")
+RUNS = "bucket int, " + ", ".join(f"{x} binary" for x in PACKED)
 
 
 def emitter(window: int, gram: int):
@@ -55,18 +59,18 @@ def emitter(window: int, gram: int):
         def run(batches):
             import pyarrow as pa
 
-            schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("docs", "starts", "counts", "anchors", "body"))])
+            schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in PACKED)])
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 data, off = buffers(batch.column(1))
                 for a, b in pieces(off, 2_000_000):
                     part, base = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                    text, start, count, anchor = filed(part, base, window, gram)
+                    text, start, count, before, anchor = filed(part, base, window, gram)
                     if not len(text):
                         continue
                     bucket = ((anchor >> U64(32)) % U64(n)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
-                    bucket, text, start, count, anchor = bucket[order], text[order], start[order], count[order], anchor[order]
+                    bucket, text, start, count, before, anchor = bucket[order], text[order], start[order], count[order], before[order], anchor[order]
                     body = part[ranges(start, count + window - 1)]
                     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
                     last, upto = np.append(edge[1:], len(bucket)), np.append(0, np.cumsum(count + window - 1))
@@ -76,6 +80,7 @@ def emitter(window: int, gram: int):
                         [squeeze(docs[i:j]) for i, j in zip(edge, last)],
                         [squeeze(start[i:j]) for i, j in zip(edge, last)],
                         [squeeze(count[i:j].astype(np.uint8)) for i, j in zip(edge, last)],
+                        [squeeze(before[i:j].astype(np.uint8)) for i, j in zip(edge, last)],
                         [anchor[i:j].tobytes() for i, j in zip(edge, last)],
                         [squeeze(body[upto[i] : upto[j]]) for i, j in zip(edge, last)],
                     ])
@@ -85,29 +90,73 @@ def emitter(window: int, gram: int):
     return emit
 
 
-def judge_with(window: int):
+class Fingerprints:
+    """Of byte ranges of one array."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, U64)
+        np.cumsum(byte_values()[data] * powers(BASE, len(data)), out=self.total[1:])
+        self.back = powers(pow(BASE, -1, 1 << 64), len(data))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.back[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+
+
+def in_two(key: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Mask of rows whose key two documents have."""
+    order = np.argsort(key)
+    head = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    d, out = docs[order], np.zeros(len(key), bool)
+    if len(head):
+        out[order] = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), np.diff(head, append=len(order)))
+    return out
+
+
+def trimmed(prints: Fingerprints, at, anchor, docs, count, before, window: int, gram: int, parts: int = 4):
+    """(string, windows skipped, windows left): the strings cut to windows that may be shared.
+
+    A window with b bytes before its gram belongs to one of `parts` ranges [low, high] of b, and holds the bytes from `low` before the
+    gram to window - high after its start.  Where no two documents share these bytes, none of the range's windows is shared."""
+    least, most = before - count + 1, before
+    top = window - gram
+    low_b, high_b = np.full(len(at), top + 1), np.full(len(at), -1)
+    rows_, keys, edges = [], [], np.linspace(0, top + 1, parts + 1).astype(int)
+    for low, high in zip(edges[:-1], edges[1:] - 1):
+        i = np.flatnonzero((most >= low) & (least <= high))
+        gram_at = at[i] + before[i]
+        rows_.append((i, low, high))
+        keys.append(prints.of(gram_at - low, gram_at + window - high) ^ anchor[i] + U64(low))
+    shared = in_two(np.concatenate(keys), np.concatenate([docs[i] for i, _, _ in rows_]))
+    for i, low, high in rows_:
+        mine, shared = i[shared[: len(i)]], shared[len(i) :]
+        low_b[mine] = np.minimum(low_b[mine], low)
+        high_b[mine] = np.maximum(high_b[mine], high)
+    low_b, high_b = np.maximum(low_b, least), np.minimum(high_b, most)
+    keep = np.flatnonzero(low_b <= high_b)
+    return keep, (most - high_b)[keep], (high_b - low_b + 1)[keep]
+
+
+def judge_with(window: int, gram: int):
     def judge(group: pa.Table) -> pa.Table:
         def column(name, dtype, packed=True):
             return np.concatenate([expand(x, dtype) if packed else np.frombuffer(x, dtype) for x in group[name].to_pylist()])
 
-        docs, start, count = column("docs", np.int64), column("starts", np.int32), column("counts", np.uint8).astype(np.int64)
-        anchor, body = column("anchors", U64, False), column("body", np.uint8)
+        docs, start, count = column("docs", np.int64), column("starts", np.int32).astype(np.int64), column("counts", np.uint8).astype(np.int64)
+        anchor, before, body = column("anchors", U64, False), column("befores", np.uint8).astype(np.int64), column("body", np.uint8)
         length = count + window - 1
         at = np.cumsum(length) - length
-        order = np.argsort(anchor)
-        head = np.flatnonzero(np.diff(anchor[order], prepend=~anchor[order[:1]]))
-        d = docs[order]
-        order = order[np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), np.diff(head, append=len(order)))]
+        keep = np.flatnonzero(in_two(anchor, docs))
+        docs, start, count, anchor, before, length, at = (x[keep] for x in (docs, start, count, anchor, before, length, at))
+        body = body[ranges(at, length)]
+        at = np.cumsum(length) - length
         out = ([], [], [])
-        if len(order):
-            docs, start, count, anchor, length, at = docs[order], start[order], count[order], anchor[order], length[order], at[order]
-            body = body[ranges(at, length)]
+        if len(keep):
+            prints = Fingerprints(body)
+            keep, skipped, count = trimmed(prints, at, anchor, docs, count, before, window, gram)
+            docs, start, anchor, at, length = docs[keep], start[keep] + skipped, anchor[keep], at[keep] + skipped, count + window - 1
+        if len(keep):
             # equal strings of one gram fold to the smallest document
-            total = np.zeros(len(body) + 1, U64)
-            np.cumsum(byte_values()[body] * powers(BASE, len(body)), out=total[1:])
-            at = np.cumsum(length) - length
-            back = powers(pow(BASE, -1, 1 << 64), len(body))
-            print_ = mix((total[at + length] - total[at]) * back[at] + length.astype(U64) * U64(0x632BE59BD9B4E019))
+            print_ = prints.of(at, at + length)
             order = np.lexsort((docs, print_, anchor))
             new = np.ones(len(order), bool)
             new[1:] = (print_[order][1:] != print_[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
@@ -166,4 +215,4 @@ def dedup_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, ca
     kept_bytes may cut a character; it is bytes for that reason."""
     types = dict(documents.dtypes)
     finished = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary" + "".join(f", `{c}` {types[c]}" for c in carry)
-    return remove_repeats(documents, emitter(window, gram), judge_with(window), finish, finished, 2_000_000, carry)
+    return remove_repeats(documents, emitter(window, gram), judge_with(window, gram), finish, finished, RUNS, 2_000_000, carry)
