@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .frames import table
+from .license_scan import scan_licenses
 from .packing import pack
+from .quality_model import score_quality
+from .quality_rules import apply_rules
 from .recompression import dedup_substrings
 from .runlength_dedup import dedup_bytes
 
@@ -31,12 +34,33 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sum_of_squares_packing, op3_run_length_dedup, op4_recompression_dedup, op10_suffix_automaton_decontamination)
+    f.__name__: f
+    for f in (
+        op2_sum_of_squares_packing,
+        op3_run_length_dedup,
+        op4_recompression_dedup,
+        op6_adaptive_quality_rules,
+        op7_sparse_rule_ensemble,
+        op9_license_set_join,
+        op10_suffix_automaton_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
