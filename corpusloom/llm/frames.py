@@ -41,10 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the JVM find shuffle files that no frame refers to any more, so that disk is freed between phases."""
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works in the background
+        time.sleep(1.5)  # the cleaner works in the background, and listeners let go of a plan late
 
 
 def ascii_lower(column):
