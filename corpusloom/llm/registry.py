@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .frames import table
+from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .packing import pack
 from .quality_model import score_quality
@@ -42,6 +43,10 @@ def op7_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_combination_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_recompression_dedup,
         op6_adaptive_quality_rules,
         op7_sparse_rule_ensemble,
+        op8_token_combination_jaccard,
         op9_license_set_join,
         op10_suffix_automaton_decontamination,
     )
