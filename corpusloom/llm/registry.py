@@ -10,11 +10,13 @@ from .decontaminate import decontaminate
 from .frames import table
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
+from .lm_scoring import cross_entropy_difference
 from .packing import pack
 from .quality_model import score_quality
 from .quality_rules import apply_rules
 from .recompression import dedup_substrings
 from .runlength_dedup import dedup_bytes
+from .style_tree import main_text
 
 
 def tokenizer_path() -> str:
@@ -23,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,6 +41,10 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
@@ -58,9 +68,11 @@ def op10_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> D
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_cross_entropy_difference,
         op2_sum_of_squares_packing,
         op3_run_length_dedup,
         op4_recompression_dedup,
+        op5_site_style_tree,
         op6_adaptive_quality_rules,
         op7_sparse_rule_ensemble,
         op8_token_combination_jaccard,
