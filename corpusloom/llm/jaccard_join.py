@@ -142,24 +142,51 @@ def count_shared(group: pa.Table) -> pa.Table:
     return pa.table({"print": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def classify(group: pa.Table) -> pa.Table:
-    """Each set's tokens that other sets have too, with a mark for the frequent class."""
-    sets, token = unpack(group, 8)
-    order = np.argsort(token)
-    sets, token = sets[order], token[order]
-    head = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-    size = np.diff(head, append=len(token))
-    size = np.repeat(size, size)
-    keep = size > 1
-    sets, token, size = sets[keep], token[keep], size[keep]
+CLASSED = "part int, sets binary, counts binary, tokens binary, frequent binary"
+
+
+def classify(parts: int):
+    """Each set's tokens that other sets have too, with a mark for the frequent class, packed by part of the sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets, token = unpack(group, 8)
+        order = np.argsort(token)
+        sets, token = sets[order], token[order]
+        head = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+        size = np.diff(head, append=len(token))
+        size = np.repeat(size, size)
+        keep = size > 1
+        sets, token, frequent = sets[keep], token[keep], (size > FREQUENT)[keep]
+        part = (mix(sets.view(U64)) % U64(parts)).astype(np.int64)
+        order = np.lexsort((sets, part))
+        part, sets, token, frequent = part[order], sets[order], token[order], frequent[order]
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(edge, np.append(edge[1:], len(sets))))
+        packed = [np.unique(sets[i:j], return_counts=True) for i, j in spans]
+        return pa.table({
+            "part": pa.array(part[edge], pa.int32()),
+            "sets": pa.array([squeeze(x.astype(np.int64)) for x, _ in packed], pa.binary()),
+            "counts": pa.array([squeeze(n.astype(np.int32)) for _, n in packed], pa.binary()),
+            "tokens": pa.array([token[i:j].tobytes() for i, j in spans], pa.binary()),
+            "frequent": pa.array([squeeze(frequent[i:j]) for i, j in spans], pa.binary()),
+        })
+
+    return run
+
+
+def assemble(group: pa.Table) -> pa.Table:
+    """A row for each set of a part: its shared tokens and their marks."""
+    sets = np.concatenate([np.repeat(expand(x, np.int64), expand(n, np.int32)) for x, n in zip(group["sets"].to_pylist(), group["counts"].to_pylist())])
+    token = np.concatenate([np.frombuffer(x, U64) for x in group["tokens"].to_pylist()])
+    frequent = np.concatenate([expand(x, bool) for x in group["frequent"].to_pylist()])
     order = np.argsort(sets, kind="stable")
-    sets, token, frequent = sets[order], token[order], (size > FREQUENT)[order]
+    sets, token, frequent = sets[order], token[order], frequent[order]
     edge = np.flatnonzero(np.diff(sets, prepend=~sets[:1]))
-    last = np.append(edge[1:], len(sets))
+    spans = list(zip(edge, np.append(edge[1:], len(sets))))
     return pa.table({
         "set": pa.array(sets[edge], pa.int64()),
-        "tokens": pa.array([token[i:j].tobytes() for i, j in zip(edge, last)], pa.binary()),
-        "frequent": pa.array([frequent[i:j].tobytes() for i, j in zip(edge, last)], pa.binary()),
+        "tokens": pa.array([token[i:j].tobytes() for i, j in spans], pa.binary()),
+        "frequent": pa.array([frequent[i:j].tobytes() for i, j in spans], pa.binary()),
     })
 
 
@@ -188,7 +215,7 @@ def emit_keys(percent: int, buckets_: int):
             held, size, have = [], [], 0
             first = 0
             for i, (tokens, frequent) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                keys = index_keys(n[i], np.frombuffer(b"".join(tokens), U64), np.frombuffer(b"".join(frequent), bool), percent)
+                keys = index_keys(n[i], np.frombuffer(tokens, U64), np.frombuffer(frequent, bool), percent)
                 held.append(keys)
                 size.append(len(keys))
                 have += len(keys)
@@ -258,7 +285,7 @@ def linked(sets: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: i
 def verify(percent: int):
     def run(group: pa.Table) -> pa.Table:
         sets, n = group["set"].to_numpy(), group["n"].to_numpy()
-        tokens = [np.frombuffer(b"".join(t), U64) for t in group["tokens"].to_pylist()]
+        tokens = [np.frombuffer(t, U64) for t in group["tokens"].to_pylist()]
         return pa.table({"set": pa.array(sets, pa.int64()), "label": pa.array(linked(sets, n, tokens, percent), pa.int64())})
 
     return run
@@ -285,10 +312,9 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     mine = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     n = max(12, n // 2)
     packed = mine.mapInArrow(emit_tokens(shingle, n, 8, False), PACKED)
-    classes = packed.groupBy("bucket").applyInArrow(classify, "`set` long, tokens binary, frequent binary")
-    by_set = classes.groupBy("set").agg(F.collect_list(F.struct("tokens", "frequent")).alias("parts"))
-    by_set = by_set.join(open_.select(F.col("rep").alias("set"), F.col("n_shingles").alias("n")), "set")
-    by_set = cut(by_set.select("set", "n", F.col("parts.tokens").alias("tokens"), F.col("parts.frequent").alias("frequent")))
+    classes = packed.groupBy("bucket").applyInArrow(classify(n), CLASSED)
+    by_set = classes.groupBy("part").applyInArrow(assemble, "`set` long, tokens binary, frequent binary")
+    by_set = cut(by_set.join(open_.select(F.col("rep").alias("set"), F.col("n_shingles").alias("n")), "set").select("set", "n", "tokens", "frequent"))
     del packed, classes
     release(spark)
     keys = by_set.mapInArrow(emit_keys(percent, n), PACKED)

@@ -195,16 +195,20 @@ def finish(batches):
         starts, stops = cols["_starts"].to_pylist(), cols["_stops"].to_pylist()
         n_words, n_removed, sums, kept_text = [], [], [], []
         for i in range(len(ids)):
-            all_words = (texts[i].as_py() or "").encode().split()
-            kept, mask = all_words, None
+            raw = (texts[i].as_py() or "").encode()
+            kept = all_words = raw.split()
             if starts[i]:
                 mask = covered(len(all_words), np.array(starts[i]), np.array(stops[i]))
                 kept = [w for w, gone in zip(all_words, mask.tolist()) if not gone]
+                begin, end, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), WHITE)
+                first = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0) == 1)
+                last = np.flatnonzero(np.diff(mask.astype(np.int8), append=0) == -1)
+                raw = np.frombuffer(raw, np.uint8)[~covered(len(raw), begin[first], end[last])].tobytes()
             joined = b" ".join(kept)
             n_words.append(len(all_words))
             n_removed.append(len(all_words) - len(kept))
             sums.append(hashlib.sha256(joined).hexdigest())
-            kept_text.append(joined)
+            kept_text.append(raw)
         carried = [c for c in cols if c not in ("doc_id", "text", "_starts", "_stops")]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
         arrays = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string()), *(cols[c] for c in carried)]
@@ -217,7 +221,8 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, rounds: int = R
 
     Null text has no words.  Texts under `window` words lose nothing.  Repeats inside one document stay.  Rows with one doc_id
     count as one document each and never take words from one another.  A null doc_id takes no part: its text stays.
-    Other columns are ignored unless named in `carry`.  An empty table gives an empty result.  kept_text joins words by one space."""
+    Other columns are ignored unless named in `carry`.  An empty table gives an empty result.
+    kept_sha256 is of the kept words joined by one space; kept_text is the text without the removed stretches, as it was laid out."""
     types = dict(documents.dtypes)
     finished = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {types[c]}" for c in carry)
     return remove_repeats(documents, emitter(window, rounds), judge_with(window), finish, finished, RUNS, 1_500_000, carry)
