@@ -132,14 +132,38 @@ def unpack(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(sets, counts), wide.view(U64).ravel()
 
 
-def count_shared(group: pa.Table) -> pa.Table:
-    sets, token = unpack(group, TAG_BYTES)
-    order = np.argsort(token)
-    sets, token = sets[order], token[order]
-    head = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-    several = np.minimum.reduceat(sets, head) != np.maximum.reduceat(sets, head)
-    found, n = np.unique(sets[np.repeat(several, np.diff(head, append=len(token)))], return_counts=True)
-    return pa.table({"print": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
+COUNTED = "part int, sets binary, counts binary"
+
+
+def count_shared(parts: int):
+    """How many of each set's tokens in this bucket another set has too, packed by part of the sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets, token = unpack(group, TAG_BYTES)
+        order = np.argsort(token)
+        sets, token = sets[order], token[order]
+        head = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+        several = np.minimum.reduceat(sets, head) != np.maximum.reduceat(sets, head)
+        found, n = np.unique(sets[np.repeat(several, np.diff(head, append=len(token)))], return_counts=True)
+        part = (mix(found.view(U64)) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, found, n = part[order], found[order], n[order]
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(edge, np.append(edge[1:], len(part))))
+        return pa.table({
+            "part": pa.array(part[edge], pa.int32()),
+            "sets": pa.array([squeeze(found[i:j].astype(np.int64)) for i, j in spans], pa.binary()),
+            "counts": pa.array([squeeze(n[i:j].astype(np.int32)) for i, j in spans], pa.binary()),
+        })
+
+    return run
+
+
+def add_counts(group: pa.Table) -> pa.Table:
+    sets = np.concatenate([expand(x, np.int64) for x in group["sets"].to_pylist()])
+    found, which = np.unique(sets, return_inverse=True)
+    n = np.bincount(which, weights=np.concatenate([expand(x, np.int32) for x in group["counts"].to_pylist()]), minlength=len(found))
+    return pa.table({"print": pa.array(found, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
 
 
 CLASSED = "part int, sets binary, counts binary, tokens binary, frequent binary"
@@ -305,7 +329,7 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     sets = meta.where("doc_id is not null and n_shingles > 0").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"))
     n = buckets(documents, 5_000_000)
     tags = texts.where("doc_id is not null").mapInArrow(emit_tokens(shingle, n, TAG_BYTES, True), PACKED)
-    shared = cut(tags.groupBy("bucket").applyInArrow(count_shared, "print long, n long").groupBy("print").agg(F.sum("n").alias("n")))
+    shared = cut(tags.groupBy("bucket").applyInArrow(count_shared(n), COUNTED).groupBy("part").applyInArrow(add_counts, "print long, n long"))
     del tags
     release(spark)
     open_ = cut(sets.join(shared, "print").where(100 * F.col("n") >= percent * F.col("n_shingles")).select("rep", "print", "n_shingles"))
