@@ -346,4 +346,4 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     of_group = by_set.select("set", "n", "tokens").join(groups.withColumnRenamed("node", "set"), "set")
     found = of_group.groupBy("label").applyInArrow(verify(percent), "`set` long, label long")
     labels = sets.join(found.select(F.col("set").alias("rep"), "label"), "rep", "left").select("print", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    return meta.join(labels, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return meta.join(labels, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

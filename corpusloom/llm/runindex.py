@@ -26,7 +26,7 @@ class RunLengthIndex:
         left = np.repeat(stops, self.lengths + 1) - np.arange(n)  # bytes before the separator
         order, same = self._sort(text, left, window)
         before = np.where(order > 0, text[order - 1], 0)
-        head = np.flatnonzero(np.diff(before.astype(np.int32), prepend=-1))
+        head = np.flatnonzero((np.diff(before.astype(np.int32), prepend=-1) != 0) | (before == 0))  # a string's first suffix stands alone
         self.starts, self.symbols = head, before[head]
         counts = np.diff(head, append=n)
         by_symbol = np.argsort(self.symbols, kind="stable")
@@ -105,8 +105,6 @@ class RunLengthIndex:
             run = int(np.searchsorted(self.starts, rank, "right")) - 1
             if rank == self.starts[run]:
                 return int(self.sampled_first[run]) + steps
-            if self.symbols[run] == 0:
-                raise KeyError(rank)
             rank, steps = int(self.back(np.array([rank]))[0]), steps + 1
 
 
