@@ -127,7 +127,7 @@ def cross_entropy_difference(documents: DataFrame, trusted: DataFrame, class_bit
     small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flags = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
-    marked = texts.join(flags, "doc_id", "left")
+    marked = texts.join(flags.hint("merge"), "doc_id", "left")  # the trusted list grows with the corpus: never broadcast
     added = marked.select("text", "_t").mapInArrow(counter(class_bits, pair_bits), COUNTS).groupBy("target", "chunk").applyInArrow(add_up, "target boolean, chunk int, counts binary")
     counts = {x: np.zeros(-(-((2 << class_bits) + (1 << pair_bits)) // CHUNK) * CHUNK, np.int64) for x in (True, False)}
     for r in added.toLocalIterator():  # tables of fixed size
