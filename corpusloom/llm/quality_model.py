@@ -29,8 +29,8 @@ FEATURES = {
     "line_words": "n_words / greatest(n_lines, 1)",
     "n_words": "n_words",
 }
-#: Labelled rows that the trees and weights are fitted on, at most; chosen by a hash of doc_id.
-SAMPLE = 20_000
+#: Labelled rows that the trees and weights are fitted on, at most; chosen by a hash of doc_id, of which so many cells are counted.
+SAMPLE, CELLS = 20_000, 65_536
 TREES, DEPTH, LEAF, PENALTY = 40, 3, 20, 0.002
 
 
@@ -136,6 +136,21 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the first cells of a hash of doc_id that hold `most` rows together at most; all rows, if there are no more.
+
+    Counts by cell come to the driver, not candidates of each task, so what it gets has the same bound at every size.  Where even the
+    first cell holds more, its rows are cut to `most` by the hash."""
+    placed = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int"))
+    counts = np.zeros(CELLS, np.int64)
+    for r in placed.groupBy("cell").count().collect():  # one row for each cell
+        counts[r["cell"]] = r["count"]
+    fits = int(np.searchsorted(np.cumsum(counts), most, "right"))
+    if fits == 0:
+        return placed.where("cell = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return placed.where(F.col("cell") < fits)
+
+
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each document.
 
@@ -145,7 +160,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
     stats = cut(features(documents))
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     learn = stats.join(one, "doc_id").where(~held_out(F.col("doc_id")))
-    rows = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("quality", *FEATURES).toPandas()
+    rows = bounded_sample(learn, sample).select("doc_id", "quality", *FEATURES).toPandas().sort_values("doc_id")
     model = RuleEnsemble.fit({f: rows[f].to_numpy(float) for f in FEATURES}, rows["quality"].to_numpy(float))
     scored = stats.withColumn("score", model.score())
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.lm_scoring import cross_entropy_difference
 from corpusloom.llm.packing import SumOfSquares, pack
-from corpusloom.llm.quality_model import RuleEnsemble, score_quality
+from corpusloom.llm.quality_model import RuleEnsemble, bounded_sample, score_quality
 from corpusloom.llm.quality_rules import apply_rules
 from corpusloom.llm.recompression import dedup_substrings
 from corpusloom.llm.runindex import RunLengthIndex
@@ -95,6 +95,17 @@ def test_jaccard_of_odd_tables(docs, empty):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_bounded_sample(spark):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"))
+    some = {r.doc_id for r in bounded_sample(ids, 1000).collect()}
+    assert 900 < len(some) <= 1000
+    assert some == {r.doc_id for r in bounded_sample(ids.orderBy(F.desc("doc_id")), 1000).collect()}
+    assert bounded_sample(ids, 3000).count() == 3000
+    same = ids.withColumn("doc_id", F.lit(7)).withColumn("x", F.col("doc_id"))
+    assert bounded_sample(same, 100).count() <= 100
+    assert bounded_sample(ids.limit(0), 10).count() == 0
+
+
 def test_linked_finds_chains():
     base = np.arange(1, 101, dtype=U64)
     chain = [np.concatenate([base[k * 5 :], base[: k * 5] + U64(1000)]) for k in range(6)]
