@@ -1,87 +1,168 @@
 """Cross-entropy difference with matched n-gram models.
 
-A target model (documents of a trusted subset) and a background model (all documents) share one vocabulary: words hashed to a
-fixed number of classes, so any word has a class, and the tables, counted over the whole corpus, have one size at every scale.  Both are
-bigram models with Dirichlet-smoothed back-off to unigrams.  A document's score is the mean over its tokens of
-target loss minus background loss; lower is closer to the target.  A document's own counts are taken out of
-the models that hold it before it is scored (leave one out), so members of the target have no advantage.
+A target model (documents of a trusted subset) and a background model (all documents) share one vocabulary, the words of all documents.
+Both are bigram models with Dirichlet-smoothed back-off to unigrams, and their counts are those of the corpus: nothing is capped, so they
+grow with it.  A document's score is the mean over its tokens of target loss minus background loss; lower is closer to the target.  A
+document's own counts are taken out of the models that hold it before it is scored (leave one out), so members of the target have no advantage.
+
+Words and bigrams are told apart by 64-bit fingerprints.  The counts are dealt by fingerprint to buckets; a chunk of documents adds up
+its own first, so a frequent word comes to its bucket once from each chunk.  A bucket adds up and answers each chunk with the totals of what it
+asked for, and with its part of the vocabulary's size; a chunk then scores its documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, WHITE, buffers, expand, lower_ascii, mix, pieces, squeeze, word_hashes, words
-from .frames import small_batches
+from .frames import cut, release, small_batches
 
-#: Bits of a word class and of a bigram's place: 65,536 classes and 4,194,304 places, 16-bit ids and 64 MB of counts for both models.
-CLASS_BITS, PAIR_BITS = 16, 21
-CHUNK = 1 << 15
+#: Bytes of text in a chunk and for each bucket: what one task holds at once, to raise with larger executors.
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 SMOOTHING = 50.0
-COUNTS = "target boolean, chunk int, places binary, counts binary"
+#: What a text's first token follows, as the fingerprint of a word; it sorts before all words.
+BEGIN = U64(0)
+#: Fingerprints of a chunk's words and how often they stand in it, its tokens, and tokens, doc_id and flags of each text.
+CHUNKS = "chunk long, words binary, often binary, tokens binary, n binary, ids binary, flags binary"
+#: A chunk's request to a bucket: fingerprints of words and bigrams, and their counts in the chunk.
+REQUEST = "bucket int, chunk long, words binary, pairs binary, counts binary"
+#: The answer: counts of the words and bigrams, size of the bucket's vocabulary, tokens of target and background.
+REPLY = "bucket int, chunk long, words binary, pairs binary, vocabulary long, target long, background long"
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def tokens_of(data: np.ndarray, off: np.ndarray, class_bits: int, pair_bits: int):
-    """(class of each token, class before it, place of the bigram, tokens before each text); a text's first token follows the class 0."""
-    data = lower_ascii(data)
-    s, e, before = words(data, off, WHITE)
-    word = (word_hashes(data, s, e) >> U64(64 - class_bits)).astype(np.int64)
-    previous = np.append(0, word[:-1]) if len(word) else word
-    previous[before[:-1][np.diff(before) > 0]] = 0
-    pair = (mix((previous.astype(U64) << U64(32)) | word.astype(U64)) >> U64(64 - pair_bits)).astype(np.int64)
-    return word, previous, pair, before
+def planes(a: np.ndarray) -> bytes:
+    """64-bit values by byte, so that what is small compresses well."""
+    return squeeze(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
 
 
-def counter(class_bits: int, pair_bits: int):
+def values(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(expand(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def sorted_keys(a: np.ndarray) -> bytes:
+    return planes(np.diff(a, prepend=U64(0)))
+
+
+def keys_of(b: bytes) -> np.ndarray:
+    return np.cumsum(values(b).view(U64), dtype=U64)
+
+
+class Chunk:
+    """Places of a chunk's tokens among its different words and bigrams, both in the order of their fingerprints."""
+
+    def __init__(self, keys: np.ndarray, word: np.ndarray, n: np.ndarray):
+        """keys: BEGIN and the different words, sorted; word: place of each token in it; n: tokens of each text."""
+        self.keys, self.word, self.n = keys, word, n
+        first = np.cumsum(n) - n
+        self.previous = np.append(0, word)[: len(word)]
+        self.previous[first[n > 0]] = 0
+        codes, pair = np.unique(self.previous * len(keys) + word, return_inverse=True)
+        pairs = mix(keys[codes // len(keys)] * U64(0x9E3779B97F4A7C15) + keys[codes % len(keys)])
+        order = np.argsort(pairs)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pairs, self.pair = pairs[order], rank[pair]
+
+    def counts(self, wanted: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often the wanted tokens are each word, follow each word, end each bigram."""
+        size = len(self.keys)
+        return np.bincount(self.word[wanted], minlength=size), np.bincount(self.previous[wanted], minlength=size), np.bincount(self.pair[wanted], minlength=len(self.pairs))
+
+
+def parts_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n buckets begins among sorted keys, and the end."""
+    return np.append(np.searchsorted(keys, np.array([(k << 64) // n for k in range(n)], U64)), len(keys))
+
+
+def packed(words_: np.ndarray, n: np.ndarray, ids: np.ndarray, flags: np.ndarray) -> tuple:
+    """What CHUNKS has but the number.  Tokens are ranks by how often their word stands in the chunk, which compress better than places."""
+    keys, word = np.unique(np.append(BEGIN, words_), return_inverse=True)
+    often = np.bincount(word[1:], minlength=len(keys))
+    rank = np.empty(len(keys), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(keys))
+    return sorted_keys(keys), planes(often), planes(rank[word[1:]]), planes(n), planes(ids), planes(flags)
+
+
+def unpacked(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    """(chunk, doc_ids, flags)"""
+    by_rank = np.argsort(-values(row["often"]), kind="stable")
+    return Chunk(keys_of(row["words"]), by_rank[values(row["tokens"])], values(row["n"])), values(row["ids"]), values(row["flags"])
+
+
+def chunks_of(chunk_bytes: int):
     def run(batches):
-        size = (2 << class_bits) + (1 << pair_bits)  # words, words as first of a pair, pairs
-        totals = {True: np.zeros(size, np.int64), False: np.zeros(size, np.int64)}
-        schema = pa.schema([("target", pa.bool_()), ("chunk", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+        schema = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("words", "often", "tokens", "n", "ids", "flags"))])
+        at, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [], [])
+
+        def flush():
+            row = (at, *packed(*map(np.concatenate, held)))
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
+
         for batch in batches:
-            flags = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
-            data, off = buffers(batch.column(0))
+            ids = batch.column(0).fill_null(0).to_numpy()
+            flags = np.array(batch.column(2).is_valid()).astype(np.int64) + 2 * np.array(batch.column(0).is_null()).astype(np.int64)  # in the target; no id
+            data, off = buffers(batch.column(1))
             for a, b in pieces(off, 2_000_000):
-                word, previous, pair, before = tokens_of(data[off[a] : off[b]], off[a : b + 1] - off[a], class_bits, pair_bits)
-                wanted = np.repeat(flags[a:b], np.diff(before))
-                places = np.stack([word, previous + (1 << class_bits), pair + (2 << class_bits)])
-                totals[False] += np.bincount(places.ravel(), minlength=size)
-                if wanted.any():
-                    totals[True] += np.bincount(places[:, wanted].ravel(), minlength=size)
-        for target, total in totals.items():
-            for chunk in range(0, size, CHUNK):
-                part = total[chunk : chunk + CHUNK]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([chunk // CHUNK], pa.int32()), pa.array([squeeze(at.astype(np.uint16))]), pa.array([squeeze(part[at])])], schema=schema)
+                if size and size + off[b] - off[a] > chunk_bytes:
+                    yield flush()
+                    at, size = at + 1, 0
+                own = lower_ascii(data[off[a] : off[b]])
+                s, e, before = words(own, off[a : b + 1] - off[a], WHITE)
+                for x, y in zip(held, (word_hashes(own, s, e), np.diff(before), ids[a:b], flags[a:b])):
+                    x.append(y)
+                size += off[b] - off[a] + 1
+        if size:
+            yield flush()
 
     return run
 
 
-def add_up(group: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
-    for places, counts in zip(group["places"].to_pylist(), group["counts"].to_pylist()):
-        total[expand(places, np.uint16)] += expand(counts, np.int64)
-    return pa.table({"target": group["target"][:1], "chunk": group["chunk"][:1], "counts": pa.array([squeeze(total)], pa.binary())})
+def requests(n_buckets: int):
+    def run(batches):
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("words", "pairs", "counts"))])
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk, _, flags = unpacked(row)
+                target, background = chunk.counts(np.repeat((flags & 1) > 0, chunk.n)), chunk.counts(slice(None))
+                a, b = parts_of(chunk.keys, n_buckets), parts_of(chunk.pairs, n_buckets)
+                out = []
+                for k in range(n_buckets):
+                    w, p = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
+                    # words and firsts of target and background, then bigrams of both
+                    counts = [x[s] for x, s in ((target[0], w), (target[1], w), (background[0], w), (background[1], w), (target[2], p), (background[2], p))]
+                    out.append((k, row["chunk"], sorted_keys(chunk.keys[w]), sorted_keys(chunk.pairs[p]), planes(np.concatenate(counts))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return run
 
 
-class Bigrams:
-    """Losses of tokens under one model."""
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key among the different ones, sums of the rows of counts for those)."""
+    different, place = np.unique(keys, return_inverse=True)
+    return place, np.stack([np.bincount(place, c, len(different)).astype(np.int64) for c in counts])
 
-    def __init__(self, counts: np.ndarray, class_bits: int, smoothing: float):
-        classes = 1 << class_bits
-        words_, first, pairs = counts[:classes], counts[classes : 2 * classes], counts[2 * classes :]
-        self.unigram, self.total = words_ + 1.0, float(words_.sum() + classes)
-        self.first, self.pairs, self.smoothing = first.astype(np.float64), pairs.astype(np.float64), smoothing
 
-    def loss(self, word, previous, pair, own_word, own_previous, own_pair) -> np.ndarray:
-        """own_*: how often the token's document itself was counted for each, 0 if it is not in the model."""
-        first = np.maximum(self.first[previous] - own_previous, 0)
-        seen = np.minimum(np.maximum(self.pairs[pair] - own_pair, 0), first)  # a place may hold other bigrams too
-        alone = np.maximum(self.unigram[word] - own_word, 1) / self.total
-        return -np.log((seen + self.smoothing * alone) / (first + self.smoothing))
+def answers(group: pa.Table) -> pa.Table:
+    """Totals over all chunks, for each chunk those of its own words and bigrams."""
+    rows = group.to_pylist()
+    word_keys, pair_keys = [keys_of(r["words"]) for r in rows], [keys_of(r["pairs"]) for r in rows]
+    counts = [values(r["counts"]) for r in rows]
+    word, word_sums = added(np.concatenate(word_keys), np.concatenate([c[: 4 * len(w)].reshape(4, -1) for c, w in zip(counts, word_keys)], axis=1))
+    pair, pair_sums = added(np.concatenate(pair_keys), np.concatenate([c[4 * len(w) :].reshape(2, -1) for c, w in zip(counts, word_keys)], axis=1))
+    size = {"vocabulary": int((word_sums[2] > 0).sum()), "target": int(word_sums[0].sum()), "background": int(word_sums[2].sum())}
+    out, w, p = [], 0, 0
+    for r, a, b in zip(rows, map(len, word_keys), map(len, pair_keys)):
+        out.append({"bucket": r["bucket"], "chunk": r["chunk"], "words": planes(word_sums[:, word[w : w + a]].ravel()), "pairs": planes(pair_sums[:, pair[p : p + b]].ravel())} | size)
+        w, p = w + a, p + b
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 2, *[pa.int64()] * 3]
+    return pa.table({c: pa.array([r[c] for r in out], t) for c, t in zip(out[0], kinds)})
 
 
 def own_counts(text: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -95,42 +176,42 @@ def own_counts(text: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def scorer(shared, class_bits: int, pair_bits: int):
-    def run(batches):
-        target, background = shared.value
-        for batch in batches:
-            data, off = buffers(batch.column(1))
-            flags = np.array([bool(x) for x in batch.column(2).to_pylist()], bool)
-            n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for a, b in pieces(off, 2_000_000):
-                word, previous, pair, before = tokens_of(data[off[a] : off[b]], off[a : b + 1] - off[a], class_bits, pair_bits)
-                n[a:b] = np.diff(before)
-                text = np.repeat(np.arange(b - a), n[a:b])
-                own = [own_counts(text, x) for x in (word, previous, pair)]
-                inside = np.repeat(flags[a:b], n[a:b])
-                for k, model in enumerate((target, background)):
-                    loss = model.loss(word, previous, pair, *(own if k else (o * inside for o in own)))
-                    total = np.append(0, np.cumsum(loss))
-                    sums[k, a:b] = total[before[1:]] - total[before[:-1]]
-            mean = sums / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+def scored(smoothing: float):
+    def run(own: pa.Table, answered: pa.Table) -> pa.Table:
+        replies = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
+        chunk, ids, flags = unpacked(own.to_pylist()[0])
+        n = chunk.n
+        of_words = np.concatenate([values(r["words"]).reshape(4, -1) for r in replies], axis=1)
+        of_pairs = np.concatenate([values(r["pairs"]).reshape(2, -1) for r in replies], axis=1)
+        vocabulary = sum(r["vocabulary"] for r in replies)
+        text = np.repeat(np.arange(len(n)), n)
+        inside = ((flags & 1) > 0)[text]
+        mine = [own_counts(text, x) for x in (chunk.word, chunk.previous, chunk.pair)]
+        means = []
+        for k, model in enumerate(("target", "background")):
+            word, previous, pair = mine if k else (x * inside for x in mine)
+            alone = (of_words[2 * k][chunk.word] - word + 1.0) / (sum(r[model] for r in replies) + vocabulary)
+            first, seen = of_words[2 * k + 1][chunk.previous] - previous, of_pairs[k][chunk.pair] - pair
+            loss = -np.log((seen + smoothing * alone) / (first + smoothing))
+            means.append(np.bincount(text, loss, len(n)) / np.maximum(n, 1))
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=(flags & 2) > 0), "n_tokens": n, "target_loss": means[0], "background_loss": means[1], "score": means[0] - means[1]})
 
     return run
 
 
-def cross_entropy_difference(documents: DataFrame, trusted: DataFrame, class_bits: int = CLASS_BITS, pair_bits: int = PAIR_BITS, smoothing: float = SMOOTHING) -> DataFrame:
+def cross_entropy_difference(documents: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each document; `trusted` holds the doc_ids of the target.
 
     Null or empty text has no tokens: losses and score are 0.  A null doc_id is background only and is scored.  Repeated rows count and
-    are scored each.  With an empty target its model is uniform over classes.  Other columns are ignored.  An empty table gives an empty result."""
+    are scored each.  With an empty target its model is uniform over the vocabulary.  Other columns are ignored.  An empty table gives an empty result."""
     spark = documents.sparkSession
     small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flags = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
-    marked = texts.join(flags.hint("merge"), "doc_id", "left")  # the trusted list grows with the corpus: never broadcast
-    added = marked.select("text", "_t").mapInArrow(counter(class_bits, pair_bits), COUNTS).groupBy("target", "chunk").applyInArrow(add_up, "target boolean, chunk int, counts binary")
-    counts = {x: np.zeros(-(-((2 << class_bits) + (1 << pair_bits)) // CHUNK) * CHUNK, np.int64) for x in (True, False)}
-    for r in added.toLocalIterator():  # tables of fixed size
-        counts[r.target][r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = expand(bytes(r.counts), np.int64)
-    models = tuple(Bigrams(counts[x], class_bits, smoothing) for x in (True, False))
-    return marked.select("doc_id", "text", "_t").mapInArrow(scorer(spark.sparkContext.broadcast(models), class_bits, pair_bits), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    marked = texts.join(flags.hint("merge"), "doc_id", "left").select("doc_id", "text", "_t")  # the trusted list grows with the corpus: never broadcast
+    chunks = cut(marked.mapInArrow(chunks_of(chunk_bytes), CHUNKS))
+    del marked
+    release(spark)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # every chunk asks every bucket, so their number follows the text, not an estimate
+    answered = chunks.mapInArrow(requests(max(12, -(-size // bucket_bytes))), REQUEST).groupBy("bucket").applyInArrow(answers, REPLY)
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored(smoothing), SCORED)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -90,3 +91,26 @@ def op6(text):
     mask = covered(len(w), [k for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1], 3)
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return (len(w), sum(map(len, w)), sum((text or "").count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), sum(mask))
+
+
+def op1(docs, trusted, smoothing):
+    """Counts of whole words and pairs of words, in plain dictionaries."""
+    texts = {i: (t or "").encode().translate(UPPER).split() for i, t in docs.items()}
+    pairs = {i: list(zip([None, *w], w)) for i, w in texts.items()}
+
+    def counted(ids):
+        return [collections.Counter(f(p) for i in ids for p in pairs[i]) for f in (lambda p: p[1], lambda p: p[0], lambda p: p)]
+
+    every, target = counted(texts), counted([i for i in texts if i in trusted])
+    out = {}
+    for i, w in texts.items():
+        own, mean = counted([i]), []
+        for model, less in ((target, i in trusted), (every, True)):
+            loss, total = 0.0, sum(model[0].values()) + len(every[0])
+            for p in pairs[i]:
+                word, first, pair = (m[k] - less * o[k] for m, o, k in zip(model, own, (p[1], p[0], p)))
+                alone = (word + 1) / total
+                loss -= math.log((pair + smoothing * alone) / (first + smoothing))
+            mean.append(loss / max(len(w), 1))
+        out[i] = (len(w), *mean)
+    return out

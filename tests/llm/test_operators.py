@@ -285,6 +285,17 @@ def test_cross_entropy_difference_prefers_the_target(spark, docs, empty, texts):
     assert all(r.score == 0 for r in odd if r.n_tokens == 0) and not any(np.isnan(r.score) for r in odd)
 
 
+@pytest.mark.parametrize("size", [8_000_000, 3_000])
+def test_cross_entropy_difference_counts_whole_words(spark, docs, texts, size):
+    many = {10_000 + k: " ".join(f"z{j % 90_000}" for j in range(k * 5_000, k * 5_000 + 6_000)) for k in range(20)}  # more words than any fixed table of 65,536
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(list(many.items()), "doc_id long, text string"))
+    trusted = {i for i in texts if i % 3 == 0 or i < 50} | {10_000 + k for k in range(0, 20, 2)}
+    got = rows(cross_entropy_difference(frame, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), chunk_bytes=size), "n_tokens", "target_loss", "background_loss")
+    expected = brute.op1(texts | many, trusted, 50.0)
+    assert set(got) == set(expected)
+    assert all(np.allclose(got[i], expected[i], rtol=1e-9, atol=1e-9) for i in expected)
+
+
 # --- pages ---------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>
