@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join; built-in expressions only.
 
-Each line of a text is a block, a set of words; each template is a set of words.  A block matches a template if it holds at
+Each line of a text is a block, a set of words, and so is each run of as many words as a template has, wherever lines break; each
+template is a set of words and is held against lines and against runs of its own length.  A block matches a template if it holds at
 least `threshold` of the template's words.  Words of templates are ordered by how many blocks of the corpus hold them, rarest first.  By
 that order a match must have its first common word within both prefixes, so blocks join templates on prefix words only; a
 length filter and a positional filter drop pairs that cannot reach the threshold, and the rest is verified.
@@ -89,6 +90,20 @@ def phrases(documents: DataFrame) -> DataFrame:
     )
 
 
+def window_matches(documents: DataFrame, prefixes: DataFrame, keys: list[str], widest: int) -> DataFrame:
+    """(doc_id, label, overlap, size) of runs of words, over line breaks too, that reach a template's need.
+
+    Such a run holds a word of the template's prefix, so only runs around these words are tried."""
+    w = F.col("_w")
+    near = lambda i: F.slice(w, F.greatest(i - (widest - 1), F.lit(0)) + 1, F.least(i, F.lit(widest - 1)) + widest)
+    spot = lambda x, i: F.when(x.isin(*keys), F.struct(x.alias("word"), F.least(i, F.lit(widest - 1)).alias("at"), near(i).alias("near")))
+    spots = documents.select("doc_id", words_of(F.col("_lower")).alias("_w")).select("doc_id", F.explode(F.array_compact(F.transform(w, spot))).alias("s")).select("doc_id", "s.*")
+    pairs = spots.join(F.broadcast(prefixes), "word").where(F.size(F.array_intersect("near", "words")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), F.col("at"))
+    best = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("near", k + 1, F.col("width")), F.col("words")))))
+    return pairs.select("doc_id", "label", best.alias("overlap"), "size", "need").where(F.col("overlap") >= F.col("need")).drop("need")
+
+
 def block_matches(documents: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(doc_id, label, containment) of every block and template that reach the threshold, by document and label the best."""
     sets = [(label, template_words(text)) for label, text in templates]
@@ -105,15 +120,18 @@ def block_matches(documents: DataFrame, templates: list[tuple[str, str]], thresh
     index, spark = [], documents.sparkSession
     for k, (label, s) in enumerate(sets):
         ranked = sorted(s, key=rank.__getitem__)
-        index += [(w, k, label, i, len(s), need[k], ranked) for i, w in enumerate(ranked[: len(s) - need[k] + 1])]
-    prefixes = spark.createDataFrame(index, "word string, template int, label string, i int, size int, need int, words array<string>")
+        width = len([x for x in re.split(SEPARATORS, templates[k][1].lower()) if x])
+        index += [(w, k, label, i, len(s), need[k], ranked, width) for i, w in enumerate(ranked[: len(s) - need[k] + 1])]
+    prefixes = spark.createDataFrame(index, "word string, template int, label string, i int, size int, need int, words array<string>, width int")
     blocks = blocks.select("doc_id", F.array_intersect(strings(order), F.col("held")).alias("block"))
     probes = blocks.select("doc_id", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - fewest + 1)).alias("j", "word"))
     within = (F.size("block") >= F.col("need")) & (F.col("j") <= F.size("block") - F.col("need"))  # length; the block's own prefix
     reach = F.least(F.col("size") - F.col("i"), F.size("block") - F.col("j")) >= F.col("need")  # position
     pairs = probes.join(F.broadcast(prefixes), "word").where(within & reach)  # the templates' prefixes are a constant of the program
     overlap = F.size(F.array_intersect("block", "words"))
-    return pairs.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).groupBy("doc_id", "label").agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
+    lines_found = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "label", "overlap", "size")
+    windows = window_matches(documents, prefixes, sorted({r[0] for r in index}), max(r[-1] for r in index))
+    return lines_found.unionByName(windows).groupBy("doc_id", "label").agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
 
 
 def scan_licenses(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

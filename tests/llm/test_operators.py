@@ -266,6 +266,17 @@ def test_license_scan(spark, docs, empty, texts):
     assert scan_licenses(empty).count() == 0 and scan_licenses(twice(docs)).count() == len(texts) + 5
 
 
+def test_license_scan_crosses_line_breaks(spark):
+    data = [
+        (1, "mit", "x y\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files\nz"),
+        (2, "bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+        (3, "mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0"),
+        (4, "", "Redistribution and use in source and\n" + "word " * 30 + "\nbinary forms, with or without modification"),
+    ]
+    got = rows(scan_licenses(spark.createDataFrame([(i, t) for i, _, t in data], "doc_id long, text string")), "labels", "score")
+    assert got == {i: (label, 1.0 if label else 0.0) for i, label, _ in data}
+
+
 # --- language models -----------------------------------------------------------------------------------------
 
 
