@@ -1,12 +1,14 @@
 """Vectorised building blocks on UTF-8 text: buffers, words, rolling fingerprints, packed rows.
 
 A batch of texts is one byte array plus offsets, so every step below is a few passes of numpy
-over contiguous memory.  Fingerprints are 64-bit polynomial sums over per-byte random values,
-finished by an avalanche; callers that need certainty compare the bytes behind them.
+over contiguous memory.  Fingerprints take eight bytes at a time through an avalanche, so no arrangement of
+letters or words collides by construction; `same` compares the bytes behind them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,7 +17,10 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Everything of ASCII but digits and letters: what separates alphanumeric words.
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 U64 = np.uint64
-BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Bytes of a range that are taken in blocks; a longer one is hashed whole by blake2b.
+SHORT = 128
+#: Of a block of eight bytes, its first k.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,19 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_values() -> np.ndarray:
-    """A random 64-bit value for each byte."""
-    return mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,23 +81,69 @@ def words(data: np.ndarray, off: np.ndarray, separators: bytes) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the data on as one number, zeros after the end."""
+    out = np.zeros(len(data) + 8, U64)
+    out[: len(data)] = data
+    for k in (1, 2, 4):
+        out[:-k] |= out[k:] << U64(8 * k)
+    return out
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of the bytes [start, end); `at`: blocks(data), if the caller has them."""
+    n = (ends - starts).astype(np.int64)
+    if not len(n):
         return np.zeros(0, U64)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(byte_values()[data] * powers(BASE, len(data)), out=total[1:])
-    back = powers(pow(BASE, -1, 1 << 64), len(data))
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+    at = blocks(data) if at is None else at
+    out = mix(n.astype(U64) * U64(0x632BE59BD9B4E019))
+    short = n <= SHORT
+    left = np.flatnonzero(short)
+    for k in range(0, SHORT, 8):
+        left = left[n[left] > k] if k else left
+        if not len(left):
+            break
+        block = at[starts[left] + k] & MASK[np.minimum(n[left] - k, 8)]
+        out[left] = mix(out[left] ^ mix(block + U64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether the bytes [start, end) of data are the bytes [from, to) of other."""
+    n = ends - starts
+    out = n == to - from_
+    here, there = blocks(data), blocks(other) if other is not data else None
+    there = here if there is None else there
+    left = np.flatnonzero(out & (n <= SHORT))
+    for k in range(0, SHORT, 8):
+        left = left[n[left] > k]
+        if not len(left):
+            break
+        mask = MASK[np.minimum(n[left] - k, 8)]
+        agree = (here[starts[left] + k] & mask) == (there[from_[left] + k] & mask)
+        out[left[~agree]] = False
+        left = left[agree]
+    for i in np.flatnonzero(out & (n > SHORT)).tolist():
+        out[i] = np.array_equal(data[starts[i] : ends[i]], other[from_[i] : to[i]])
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return range_hashes(data, starts, ends)
 
 
 def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprint of each `length` consecutive 64-bit symbols."""
-    n = len(symbols) - length + 1
-    if n <= 0:
+    """Fingerprint of each `length` consecutive 64-bit symbols, by doubling: halves overlap where the length is no power of two."""
+    if len(symbols) < length:
         return np.zeros(0, U64)
-    total = np.zeros(len(symbols) + 1, U64)
-    np.cumsum(symbols * powers(WORD_BASE, len(symbols)), out=total[1:])
-    return mix((total[length:] - total[:-length]) * powers(pow(WORD_BASE, -1, 1 << 64), n))
+    out, have = mix(symbols + U64(length)), 1
+    while have < length:
+        step = min(have, length - have)
+        out = mix(out[:-step] * U64(0x9FB21C651E98DF25) + (out[step:] ^ U64(0xC2B2AE3D27D4EB4F)) * U64(0xE7037ED1A0B428DB))
+        have += step
+    return out
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -133,6 +171,15 @@ def expand(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], n, codec="zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """64-bit values by byte, so that what is small compresses well."""
+    return squeeze(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def values(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(expand(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mask of n places that lie in some [start, end)."""
     step = np.zeros(n + 1, np.int64)

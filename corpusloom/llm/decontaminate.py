@@ -3,24 +3,29 @@
 The items' words become one automaton.  Training words are streamed through it, many stretches of a batch in step: a word
 follows a transition, or the match falls back along suffix links, so each place has the longest match that ends there.
 A match of 10 words (or a whole shorter item) hits the words it covers.  Items too many for one automaton of bounded size
-are taken in blocks, each block a pass over the rows; rows are never shuffled.
+are taken in blocks, each block a job of its own over the rows that writes its hits and lets its automaton go; a very long item is
+taken in pieces that overlap by a window.  With one block rows are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_ALNUM, buffers, covered, lower_ascii, pieces, word_hashes, words
-from .frames import small_batches
+from .arrays import NOT_ALNUM, buffers, covered, lower_ascii, pieces, same, word_hashes, words
+from .frames import cut, small_batches
+from .repeats import keyed, refuse
 
 WINDOW = 10
-#: Characters of items in one automaton; it bounds what is broadcast.
-BLOCK_CHARS = 4_000_000
+#: Characters of items in one automaton; it bounds what comes to the driver and is broadcast.
+BLOCK_CHARS = 2_000_000
+#: Parts of a block's expected size by which items are counted before they are dealt to blocks.
+CELLS = 32
 
 
 class SuffixAutomaton:
@@ -101,8 +106,10 @@ class Items:
         data = lower_ascii(data)
         starts, ends, before = words(data, off, NOT_ALNUM)
         hashes = word_hashes(data, starts, ends)
-        self.vocabulary = np.unique(hashes)
-        tokens = np.searchsorted(self.vocabulary, hashes)
+        self.vocabulary, sample, tokens = np.unique(hashes, return_index=True, return_inverse=True)
+        self.data, self.starts, self.ends = data, starts[sample], ends[sample]
+        if not same(data, starts, ends, data, self.starts[tokens], self.ends[tokens]).all():
+            raise RuntimeError("two words of the items share a fingerprint")
         strings = [tokens[a:b].tolist() for a, b in zip(before[:-1], before[1:])]
         self.window, self.automaton = window, (a := SuffixAutomaton(strings))
         lens, links = a.len, a.link
@@ -120,11 +127,11 @@ class Items:
             for k, c in enumerate(s):
                 v = a.next[v][c]
                 if k + 1 >= window:
-                    self.behind.setdefault(int(self.full[v]), set()).add(item)
+                    self.behind.setdefault(int(self.full[v]), set()).update(() if item is None else (item,))
             if 0 < len(s) < window:
                 whole[v] = True
                 self.shortest = min(self.shortest, len(s))
-                self.behind.setdefault(v, set()).add(item)
+                self.behind.setdefault(v, set()).update(() if item is None else (item,))
         # the nearest whole short item on the way along the links, the state included
         self.whole = np.full(len(lens), -1, np.int64)
         for v in by_length[1:]:
@@ -142,6 +149,8 @@ class Items:
         hashes = word_hashes(data, starts, ends)
         token = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[token] == hashes
+        at = np.flatnonzero(known)
+        known[at] = same(data, starts[at], ends[at], self.data, self.starts[token[at]], self.ends[token[at]])
         text = np.repeat(np.arange(len(off) - 1), np.diff(before))
         begin = known.copy()
         begin[1:] &= ~known[:-1] | (text[1:] != text[:-1])
@@ -170,8 +179,11 @@ class Items:
         return starts, ends, before, hit, match, found
 
 
-def scanner(shared, position: int):
-    """A pass of one block: adds hit words and items to what earlier passes found."""
+FOUND = "_hits array<int>, _items array<string>, _longest long"
+
+
+def scanner(shared):
+    """Adds the places of hit words, the items behind them, and the longest match."""
 
     def run(batches):
         import pyarrow as pa
@@ -181,7 +193,6 @@ def scanner(shared, position: int):
             names = batch.schema.names
             data, off = buffers(batch.column(names.index("text")))
             hits, found_items, longest = [None] * batch.num_rows, [None] * batch.num_rows, [0] * batch.num_rows
-            earlier = [batch.column(names.index(c)).to_pylist() for c in ("_hits", "_items", "_longest")] if position else None
             for a, b in pieces(off, 2_000_000):
                 _, _, before, hit, match, found = items.hits(lower_ascii(data[off[a] : off[b]]), off[a : b + 1] - off[a])
                 top = np.append(match, 0)
@@ -190,13 +201,8 @@ def scanner(shared, position: int):
                     longest[k] = int(top[i:j].max(initial=0))
                     if k - a in found:
                         hits[k], found_items[k] = np.flatnonzero(hit[i:j]).tolist(), [str(x) for x in found[k - a]]
-            if earlier:
-                hits = [(x or []) + (y or []) or None for x, y in zip(earlier[0], hits)]
-                found_items = [(x or []) + (y or []) or None for x, y in zip(earlier[1], found_items)]
-                longest = list(map(max, earlier[2], longest))
-            keep = [n for n in names if n not in ("_hits", "_items", "_longest")]
-            arrays = [*(batch.column(names.index(n)) for n in keep), pa.array(hits, pa.list_(pa.int32())), pa.array(found_items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "_hits", "_items", "_longest"])
+            arrays = [*(batch.column(n) for n in names), pa.array(hits, pa.list_(pa.int32())), pa.array(found_items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_hits", "_items", "_longest"])
 
     return run
 
@@ -235,7 +241,7 @@ def finisher(max_coverage: float, with_text: bool):
                         raw = raw[~covered(len(raw), s[at[edge]], e[at[stop]])]
                     text.append(raw.tobytes().decode())
             cover = np.array(n_hit) / np.maximum(n_words, 1)
-            out = {n: cols[n] for n in names if n not in ("text", "_hits", "_items", "_longest")}
+            out = {n: cols[n] for n in names if n not in ("text", *OWN)}
             out |= {"n_words": n_words, "n_hit": n_hit, "n_items": n_items, "items_sha256": sums, "contaminated": [x > 0 for x in n_hit], "longest": cols["_longest"], "coverage": cover, "dropped": cover > max_coverage}
             if with_text:
                 out["kept_text"] = pa.array(text, pa.string())
@@ -244,29 +250,90 @@ def finisher(max_coverage: float, with_text: bool):
     return run
 
 
+def cutter(window: int, most: int):
+    """(_item, text): items in pieces of about `most` characters that overlap by window - 1 words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(text) <= most:
+                    ids.append(item)
+                    texts.append(text)
+                    continue
+                raw = lower_ascii(np.frombuffer(text.encode(), np.uint8))
+                starts, ends, _ = words(raw, np.array([0, len(raw)]), NOT_ALNUM)
+                first = 0
+                while first < len(starts):
+                    last = max(int(np.searchsorted(ends, starts[first] + most, "right")), min(first + 2 * window, len(starts)))
+                    ids.append(item)
+                    texts.append(raw[starts[first] : ends[last - 1]].tobytes().decode())
+                    first = len(starts) if last == len(starts) else last - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["_item", "text"])
+
+    return run
+
+
+def dealt(items: DataFrame, window: int, block_chars: int) -> list[DataFrame]:
+    """The items in blocks of at most about `block_chars` characters (one fine cell more, where a cell alone is larger)."""
+    # a null id stays null, so it is never mistaken for an item of that name
+    cut_ = items.select(F.col("item_id").cast("string").alias("_item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    pieces_ = cut(cut_.mapInArrow(cutter(window, max(block_chars // CELLS, 1)), "_item string, text string"))
+    chars = pieces_.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars <= block_chars:
+        return [pieces_]
+    cells = CELLS * -(-chars // block_chars)
+    cell = F.pmod(F.xxhash64("_item", "text"), F.lit(cells))
+    size = dict(pieces_.groupBy(cell.alias("cell")).agg(F.sum(F.length("text")).alias("n")).collect())  # one row for each cell
+    blocks, held = [], block_chars + 1
+    for k in range(cells):
+        if held + size.get(k, 0) > block_chars:
+            blocks.append([k, k])
+            held = 0
+        held += size.get(k, 0)
+        blocks[-1][1] = k
+    return [pieces_.where(cell.between(a, b)) for a, b in blocks]
+
+
+OWN = ("_print", "_hits", "_items", "_longest")
+
+
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, with_text: bool = True, carry: list[str] = [], block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """(doc_id, *carry, n_words, n_hit, n_items, items_sha256, contaminated, longest, coverage, dropped, kept_text) for each document.
 
     A window is `window` consecutive words of an item, or a whole item of fewer words.  A word in any occurrence of a window is hit;
-    kept_text lacks the hit stretches, and `dropped` marks documents of which more than `max_coverage` is hit.
-    Null text or item text has no words.  Items with a null item_id hit words but are counted as "None".  Repeated rows are judged each.
-    Empty tables: no documents give no rows, no items give no hits.  Other columns are ignored unless named in `carry`."""
+    kept_text lacks the hit stretches, and `dropped` marks documents of which more than `max_coverage` is hit.  `longest` is the longest match
+    with an item, or with a piece of an item of over block_chars / 32 characters.
+    Null text or item text has no words.  Items with a null item_id hit words but are not counted as items.  Repeated rows are judged each.
+    Empty tables: no documents give no rows, no items give no hits.  Other columns are ignored unless named in `carry`, where the operator's own
+    names and those beginning with _ that it takes (_print, _hits, _items, _longest) are refused.  A text is held whole by one task."""
+    refuse(carry, ("doc_id", "text", *OWN))
     spark = documents.sparkSession
     small_batches(spark)
     types = dict(documents.dtypes)
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-    frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    kept = "doc_id long, " + "".join(f"`{c}` {types[c]}, " for c in carry)
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = block.distinct().collect()  # about block_chars characters
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in found], [r[1] for r in found], window))
-        frame = frame.mapInArrow(scanner(shared, k), "doc_id long, text string, " + "".join(f"`{c}` {types[c]}, " for c in carry) + "_hits array<int>, _items array<string>, _longest long")
-    out = kept + "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, coverage double, dropped boolean" + ", kept_text string" * with_text
-    return frame.mapInArrow(finisher(max_coverage, with_text), out)
+    frame, carried = keyed(documents, carry), "".join(f"`{c}` {types[c]}, " for c in carry)
+    out = f"doc_id long, {carried}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, coverage double, dropped boolean" + ", kept_text string" * with_text
 
+    def scanned(block: DataFrame, of: DataFrame, schema: str):
+        found = block.collect()  # about block_chars characters
+        shared = spark.sparkContext.broadcast(Items([r[0] for r in found], [r[1] for r in found], window))
+        return shared, of.mapInArrow(scanner(shared), f"{schema}, {FOUND}")
 
+    blocks = dealt(benchmark, window, block_chars)
+    if len(blocks) == 1:
+        _, hits = scanned(blocks[0], frame.drop("_print"), "doc_id long, text string, " + carried.removesuffix(", ") if carry else "doc_id long, text string")
+        return hits.mapInArrow(finisher(max_coverage, with_text), out)
+    parts = []
+    for block in blocks:
+        shared, hits = scanned(block, frame.select("doc_id", "text", "_print"), "doc_id long, text string, _print long")
+        parts.append(cut(hits.where("_longest > 0").select("doc_id", "_print", "_hits", "_items", "_longest").distinct()))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts)
+    gather = lambda c: F.flatten(F.collect_list(F.coalesce(c, F.array().cast(dict(every.dtypes)[c])))).alias(c)
+    by_row = every.groupBy("doc_id", "_print").agg(gather("_hits"), gather("_items"), F.max("_longest").alias("_longest")).withColumnsRenamed({"doc_id": "_d", "_print": "_p"})
+    joined = frame.join(by_row, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p")), "left")
+    return joined.select("doc_id", "text", *carry, "_hits", "_items", F.coalesce("_longest", F.lit(0)).alias("_longest")).mapInArrow(finisher(max_coverage, with_text), out)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrays import U64, WHITE, buffers, expand, lower_ascii, mix, pieces, ranges, squeeze, window_hashes, word_hashes, words
 from .components import components
-from .frames import buckets, cut, release, small_batches
+from .frames import buckets, cut, small_batches, text_bytes
 from .repeats import rows
 
 SHINGLE, PERCENT = 5, 80
@@ -32,6 +32,8 @@ FREQUENT = 64
 COMBINED = 100
 #: Bytes of a token in the first count, beside its bucket; equal tags of different tokens only let more sets through.
 TAG_BYTES = 5
+#: Bytes of text for each bucket, to raise with larger executors.
+BUCKET_BYTES = 5_000_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,8 @@ def describe(k: int):
                 token, upto = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
                 n.append(np.diff(upto))
                 prints.append(set_prints(token, upto))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else []).cast(pa.int64()), pa.array(np.concatenate(prints) if prints else []).cast(pa.int64())], names=["doc_id", "n_shingles", "print"])
+            found = (pa.array(np.concatenate(x) if x else []).cast(pa.int64()) for x in (n, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=["doc_id", "text_print", "n_shingles", "print"])
 
     return run
 
@@ -106,16 +109,14 @@ def pack_tokens(schema, n: int, sets: np.ndarray, token: np.ndarray, upto: np.nd
     ])
 
 
-def emit_tokens(k: int, n: int, width: int, by_print: bool):
+def emit_tokens(k: int, n: int, width: int):
     def run(batches):
         schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
-        for ids, data, off in texts_of(batches):
+        for _, data, off in texts_of(batches):
             token, upto = shingle_sets(data, off, k)
-            sets = set_prints(token, upto) if by_print else ids
-            if by_print:  # equal sets of a batch travel once
-                _, first = np.unique(sets, return_index=True)
-                sizes = np.diff(upto)[first]
-                token, upto, sets = token[ranges(upto[first], sizes)], np.append(0, np.cumsum(sizes)), sets[first]
+            sets, first = np.unique(set_prints(token, upto), return_index=True)  # equal sets of a batch travel once
+            sizes = np.diff(upto)[first]
+            token, upto = token[ranges(upto[first], sizes)], np.append(0, np.cumsum(sizes))
             if len(token):
                 yield pack_tokens(schema, n, sets, token, upto, width)
 
@@ -263,9 +264,10 @@ def chain(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
-def linked(sets: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the smallest set it hangs together with over exact links; a search from linked sets to unlinked ones."""
-    k = len(sets)
+def linked(reps: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the smallest document among the sets it hangs together with over exact links; `reps` has the smallest of each set.
+    A search from linked sets to unlinked ones."""
+    k = len(reps)
     size = np.array([len(t) for t in tokens])
     flat = np.concatenate(tokens)
     _, code = np.unique(flat, return_inverse=True)
@@ -281,11 +283,11 @@ def linked(sets: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: i
     alive = np.ones(k, bool)
     owner, at = postings(alive)
     built = k
-    for seed in np.argsort(sets).tolist():
+    for seed in np.argsort(reps, kind="stable").tolist():
         if not alive[seed]:
             continue
         alive[seed] = False
-        label[seed] = sets[seed]
+        label[seed] = reps[seed]
         queue = [seed]
         while queue:
             i = queue.pop()
@@ -299,7 +301,7 @@ def linked(sets: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: i
             other, common = np.unique(owner[ranges(at[c], at[c + 1] - at[c])], return_counts=True)
             good = other[alive[other] & (100 * common >= percent * (n[i] + n[other] - common))]
             alive[good] = False
-            label[good] = sets[seed]
+            label[good] = reps[seed]
             queue.extend(good.tolist())
         if not alive.any():
             break
@@ -308,42 +310,42 @@ def linked(sets: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: i
 
 def verify(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        sets, n = group["set"].to_numpy(), group["n"].to_numpy()
+        reps, n = group["rep"].to_numpy(), group["n"].to_numpy()
         tokens = [np.frombuffer(t, U64) for t in group["tokens"].to_pylist()]
-        return pa.table({"set": pa.array(sets, pa.int64()), "label": pa.array(linked(sets, n, tokens, percent), pa.int64())})
+        return pa.table({"set": group["set"], "label": pa.array(linked(reps, n, tokens, percent), pa.int64())})
 
     return run
 
 
-def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row with a doc_id: component_id is the smallest doc_id reachable over links,
-    which join documents whose shingle sets have a Jaccard similarity of `percent` % at least.
+def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, text_print) for each row: component_id is the smallest doc_id reachable over links,
+    which join rows whose shingle sets have a Jaccard similarity of `percent` % at least; text_print is xxhash64 of the text.
 
     Words are lower-cased by ASCII.  Fewer words than a shingle are one token; null or empty text has none and links with nothing, not even
-    another empty text.  Repeated rows are reported each.  A null doc_id gets a null component_id and takes no part.  Ties do not matter, as
-    every link counts.  Other columns are ignored.  An empty table gives an empty result."""
+    another empty text.  Rows are judged and reported each, so two texts under one doc_id have their own links.  A null doc_id gets a null
+    component_id and takes no part.  Ties do not matter, as every link counts.  Other columns are ignored.  An empty table gives an empty result.
+    Tokens are told apart by 64-bit fingerprints, sets by one of their tokens."""
     spark = documents.sparkSession
     small_batches(spark)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    meta = cut(texts.mapInArrow(describe(shingle), "doc_id long, n_shingles long, print long"))
-    sets = meta.where("doc_id is not null and n_shingles > 0").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    n = buckets(documents, 5_000_000)
-    tags = texts.where("doc_id is not null").mapInArrow(emit_tokens(shingle, n, TAG_BYTES, True), PACKED)
+    text = F.col("text").cast("string")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_print"))
+    meta = cut(texts.mapInArrow(describe(shingle), "doc_id long, text_print long, n_shingles long, print long"))
+    # a set: its fingerprint, size, and smallest document with one of its texts
+    sets = meta.where("doc_id is not null and n_shingles > 0").groupBy("print", "n_shingles").agg(F.min(F.struct("doc_id", "text_print")).alias("first"))
+    sets = sets.select("print", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.text_print").alias("text_print"))
+    n = buckets(text_bytes(texts), bucket_bytes)
+    tags = texts.where("doc_id is not null").mapInArrow(emit_tokens(shingle, n, TAG_BYTES), PACKED)
     shared = cut(tags.groupBy("bucket").applyInArrow(count_shared(n), COUNTED).groupBy("part").applyInArrow(add_counts, "print long, n long"))
-    del tags
-    release(spark)
-    open_ = cut(sets.join(shared, "print").where(100 * F.col("n") >= percent * F.col("n_shingles")).select("rep", "print", "n_shingles"))
-    mine = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    open_ = cut(sets.join(shared, "print").where(100 * F.col("n") >= percent * F.col("n_shingles")).select("print", "n_shingles", "rep", "text_print"))
+    mine = texts.join(open_.select(F.col("rep").alias("doc_id"), "text_print"), ["doc_id", "text_print"], "left_semi").dropDuplicates(["doc_id", "text_print"]).select("doc_id", "text")
     n = max(12, n // 2)
-    packed = mine.mapInArrow(emit_tokens(shingle, n, 8, False), PACKED)
-    classes = packed.groupBy("bucket").applyInArrow(classify(n), CLASSED)
+    classes = mine.mapInArrow(emit_tokens(shingle, n, 8), PACKED).groupBy("bucket").applyInArrow(classify(n), CLASSED)
     by_set = classes.groupBy("part").applyInArrow(assemble, "`set` long, tokens binary, frequent binary")
-    by_set = cut(by_set.join(open_.select(F.col("rep").alias("set"), F.col("n_shingles").alias("n")), "set").select("set", "n", "tokens", "frequent"))
-    del packed, classes
-    release(spark)
+    by_set = cut(by_set.join(open_.select(F.col("print").alias("set"), F.col("n_shingles").alias("n"), "rep"), "set").select("set", "n", "tokens", "frequent", "rep"))
     keys = by_set.mapInArrow(emit_keys(percent, n), PACKED)
     groups = components(keys.groupBy("bucket").applyInArrow(chain, "a long, b long"))
-    of_group = by_set.select("set", "n", "tokens").join(groups.withColumnRenamed("node", "set"), "set")
-    found = of_group.groupBy("label").applyInArrow(verify(percent), "`set` long, label long")
-    labels = sets.join(found.select(F.col("set").alias("rep"), "label"), "rep", "left").select("print", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    return meta.join(labels, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    of_group = by_set.select("set", "n", "tokens", "rep").join(groups.withColumnRenamed("node", "set"), "set")
+    found = cut(of_group.groupBy("label").applyInArrow(verify(percent), "`set` long, label long"))
+    labels = sets.join(found.withColumnRenamed("set", "print"), "print", "left").select("print", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return meta.join(labels, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", component, "text_print")

@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, WHITE, buffers, expand, lower_ascii, mix, pieces, squeeze, word_hashes, words
-from .frames import cut, release, small_batches
+from .arrays import U64, WHITE, buffers, lower_ascii, mix, pieces, planes, values, word_hashes, words
+from .frames import buckets, cut, small_batches, text_bytes
 
 #: Bytes of text in a chunk and for each bucket: what one task holds at once, to raise with larger executors.
 CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+#: Trusted ids that are broadcast at most (about 16 bytes each).
+BROADCAST_ROWS = 1_000_000
 SMOOTHING = 50.0
 #: What a text's first token follows, as the fingerprint of a word; it sorts before all words.
 BEGIN = U64(0)
@@ -30,20 +32,11 @@ BEGIN = U64(0)
 CHUNKS = "chunk long, words binary, often binary, tokens binary, n binary, ids binary, flags binary"
 #: A chunk's request to a bucket: fingerprints of words and bigrams, and their counts in the chunk.
 REQUEST = "bucket int, chunk long, words binary, pairs binary, counts binary"
-#: The answer: counts of the words and bigrams, size of the bucket's vocabulary, tokens of target and background.
+#: The answer: counts of the words and bigrams; on one answer of each bucket the size of its vocabulary and its tokens of target and background.
 REPLY = "bucket int, chunk long, words binary, pairs binary, vocabulary long, target long, background long"
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def planes(a: np.ndarray) -> bytes:
-    """64-bit values by byte, so that what is small compresses well."""
-    return squeeze(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
-
-
-def values(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(expand(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
 def sorted_keys(a: np.ndarray) -> bytes:
     return planes(np.diff(a, prepend=U64(0)))
 
@@ -135,10 +128,13 @@ def requests(n_buckets: int):
                 out = []
                 for k in range(n_buckets):
                     w, p = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
+                    if w.start == w.stop and p.start == p.stop:
+                        continue
                     # words and firsts of target and background, then bigrams of both
                     counts = [x[s] for x, s in ((target[0], w), (target[1], w), (background[0], w), (background[1], w), (target[2], p), (background[2], p))]
                     out.append((k, row["chunk"], sorted_keys(chunk.keys[w]), sorted_keys(chunk.pairs[p]), planes(np.concatenate(counts))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return run
 
@@ -157,9 +153,9 @@ def answers(group: pa.Table) -> pa.Table:
     word, word_sums = added(np.concatenate(word_keys), np.concatenate([c[: 4 * len(w)].reshape(4, -1) for c, w in zip(counts, word_keys)], axis=1))
     pair, pair_sums = added(np.concatenate(pair_keys), np.concatenate([c[4 * len(w) :].reshape(2, -1) for c, w in zip(counts, word_keys)], axis=1))
     size = {"vocabulary": int((word_sums[2] > 0).sum()), "target": int(word_sums[0].sum()), "background": int(word_sums[2].sum())}
-    out, w, p = [], 0, 0
+    nothing, out, w, p = dict.fromkeys(size, 0), [], 0, 0
     for r, a, b in zip(rows, map(len, word_keys), map(len, pair_keys)):
-        out.append({"bucket": r["bucket"], "chunk": r["chunk"], "words": planes(word_sums[:, word[w : w + a]].ravel()), "pairs": planes(pair_sums[:, pair[p : p + b]].ravel())} | size)
+        out.append({"bucket": r["bucket"], "chunk": r["chunk"], "words": planes(word_sums[:, word[w : w + a]].ravel()), "pairs": planes(pair_sums[:, pair[p : p + b]].ravel())} | (nothing if out else size))
         w, p = w + a, p + b
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 2, *[pa.int64()] * 3]
     return pa.table({c: pa.array([r[c] for r in out], t) for c, t in zip(out[0], kinds)})
@@ -176,21 +172,20 @@ def own_counts(text: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def scored(smoothing: float):
+def scored(smoothing: float, total: dict[str, int]):
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
         replies = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
         chunk, ids, flags = unpacked(own.to_pylist()[0])
         n = chunk.n
         of_words = np.concatenate([values(r["words"]).reshape(4, -1) for r in replies], axis=1)
         of_pairs = np.concatenate([values(r["pairs"]).reshape(2, -1) for r in replies], axis=1)
-        vocabulary = sum(r["vocabulary"] for r in replies)
         text = np.repeat(np.arange(len(n)), n)
         inside = ((flags & 1) > 0)[text]
         mine = [own_counts(text, x) for x in (chunk.word, chunk.previous, chunk.pair)]
         means = []
         for k, model in enumerate(("target", "background")):
             word, previous, pair = mine if k else (x * inside for x in mine)
-            alone = (of_words[2 * k][chunk.word] - word + 1.0) / (sum(r[model] for r in replies) + vocabulary)
+            alone = (of_words[2 * k][chunk.word] - word + 1.0) / (total[model] + total["vocabulary"])
             first, seen = of_words[2 * k + 1][chunk.previous] - previous, of_pairs[k][chunk.pair] - pair
             loss = -np.log((seen + smoothing * alone) / (first + smoothing))
             means.append(np.bincount(text, loss, len(n)) / np.maximum(n, 1))
@@ -208,10 +203,12 @@ def cross_entropy_difference(documents: DataFrame, trusted: DataFrame, smoothing
     small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     flags = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
-    marked = texts.join(flags.hint("merge"), "doc_id", "left").select("doc_id", "text", "_t")  # the trusted list grows with the corpus: never broadcast
+    # the trusted list grows with the corpus: it is broadcast behind a count only, else both sides are shuffled
+    few = flags.count() <= BROADCAST_ROWS
+    marked = texts.join(F.broadcast(flags) if few else flags.hint("merge"), "doc_id", "left").select("doc_id", "text", "_t")
     chunks = cut(marked.mapInArrow(chunks_of(chunk_bytes), CHUNKS))
-    del marked
-    release(spark)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # every chunk asks every bucket, so their number follows the text, not an estimate
-    answered = chunks.mapInArrow(requests(max(12, -(-size // bucket_bytes))), REQUEST).groupBy("bucket").applyInArrow(answers, REPLY)
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored(smoothing), SCORED)
+    n = buckets(text_bytes(texts), bucket_bytes)
+    answered = cut(chunks.mapInArrow(requests(n), REQUEST).groupBy("bucket").applyInArrow(answers, REPLY))
+    sums = answered.agg(*(F.sum(c).alias(c) for c in ("vocabulary", "target", "background"))).first()
+    total = {c: sums[c] or 0 for c in ("vocabulary", "target", "background")}
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored(smoothing, total), SCORED)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import buffers, pieces, ranges, word_hashes
+from .arrays import buffers, pieces, ranges, same, word_hashes
 from .frames import small_batches
 
 WINDOW, END_ID = 2048, 1
@@ -53,23 +53,47 @@ class SumOfSquares:
         return number, level
 
 
+MARKS = ".,!?;:*#$%&"
+
+
 class Words:
-    """Ids of texts by a tokenizer whose pre-tokens never cross ASCII white space, nor an ASCII letter followed by
-    one of . , ! ? ; : * # $ % & ; each different part is encoded once per worker and batch."""
+    """Ids of texts by a tokenizer, each different part of a text encoded once for many.
+
+    Parts end at white space and between an ASCII letter and a mark, if the tokenizer gives `probes` the same ids whole and in parts; else at
+    white space only, if that holds; else texts are encoded whole."""
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
         self.inside, self.letter, self.mark = (np.zeros(256, bool) for _ in range(3))
-        self.inside[:] = True
-        self.inside[list(b" \t\n\r\x0b\x0c")] = False
         self.letter[[*range(65, 91), *range(97, 123)]] = True
-        self.mark[list(b".,!?;:*#$%&")] = True
+        for marks, white in ((MARKS, b" \t\n\r\x0b\x0c"), ("", b" \t\n\r\x0b\x0c"), ("", b"")):
+            self.clear()
+            self.mark[:] = False
+            self.mark[list(marks.encode())] = True
+            self.inside[:] = True
+            self.inside[list(white)] = False
+            if not white or self._sound():
+                break
+        self.clear()
+
+    def _sound(self) -> bool:
+        probes = self.probes()
+        raw = [t.encode() for t in probes]
+        flat, upto = self.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        whole = self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)
+        return all(flat[a:b].tolist() == e.ids for a, b, e in zip(upto, upto[1:], whole))
+
+    @staticmethod
+    def probes() -> list[str]:
+        """Strings in which letters, marks, digits, white space and other scripts meet in many ways."""
+        rng = np.random.default_rng(7)
+        parts = [*"aZ09 '-_()/@", *MARKS, " ", "\n", "\t", "  ", "é", "ß", "漢", "字", "😀", "\u00a0", "\u0301", "n't", "the", "Http", "...", "<|endoftext|>"]
+        return ["", " ", " a", "a ", *("".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(1, 40, 300))]
 
     def clear(self):
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.begin, self.used = np.zeros(1 << 20, np.uint32), [0], 0
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,20 +106,23 @@ class Words:
         starts[1:] &= ~inside[:-1] | cut
         ends[:-1] &= ~inside[1:] | cut
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        raw = data.tobytes()
         unique, sample, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if not same(data, starts, ends, data, starts[sample[which]], ends[sample[which]]).all():  # two parts under one fingerprint
+            seen: dict[bytes, int] = {}
+            which = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
+            sample = np.unique(which, return_index=True)[1]
         if len(self.known) > self.most:
             self.clear()
-        keys = unique.tolist()
-        raw = data.tobytes()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        texts = [raw[s:e].decode() for s, e in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+        keys = [raw[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]
+        new = [k for k in keys if k not in self.known]
+        for k, e in zip(new, self.tokenizer.encode_batch_fast([k.decode() for k in new], add_special_tokens=False) if new else ()):
             got = e.ids
             if self.used + len(got) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(got)), np.uint32)])
             self.flat[self.used : self.used + len(got)] = got
             self.used += len(got)
-            self.known[keys[i]] = len(self.begin) - 1
+            self.known[k] = len(self.begin) - 1
             self.begin.append(self.used)
         row = np.array([self.known[k] for k in keys], np.int64)[which] if keys else np.zeros(0, np.int64)
         begin = np.array(self.begin, np.int64)

@@ -1,17 +1,18 @@
 """Substring dedup on words by recompression.
 
-Each text is a string of word symbols.  Rounds of recompression rename it: maximal runs of one symbol become one
-symbol, then adjacent pairs (left class, right class) become one symbol, the class being a bit of
-the symbol's own name.  A name is a 64-bit fingerprint of what it stands for, so naming is global
-without a shared dictionary: equal substrings get equal interior symbols in every document and task, and no round has
-to number symbols through a shuffle.  With each symbol goes the range of words its naming looked at.  A window
-of 50 words is filed under its highest-level symbol whose range lies inside the window (the
-leftmost of these), which is a function of the window's words alone.  High-level symbols that only one document has
-are dropped; the windows filed under shared ones are compared by their own fingerprints.
-
-The rounds are local passes over a batch; Spark's shuffle deals the symbols out by name.  A window inside a long run
-has no interior symbol above the level of the repeated part and falls back to that level, down to single words,
-so no periodic text is lost.
+Each text is a string of word symbols; chunks of texts hold them.  Rounds of recompression rename it: maximal runs of one symbol become
+one symbol, then adjacent pairs (left class, right class) become one, the class being a bit of what a symbol stands for.  Naming is a
+Spark round: every chunk sends the different words, runs and pairs that it has to the buckets they are dealt to; a bucket compares
+them in full, numbers those that two texts have, and answers each chunk.  So a name stands for one string of words, equal substrings
+have the same interior symbols everywhere, and a symbol that one text alone has gets no name.
+
+With each symbol goes the range of words its naming looked at.  A window of 50 words with a nameless symbol's range in it stands
+nowhere else and is given up at once; what no window needs any more is merged into blocks without a name, so after a few
+rounds little but repeated passages is left.  A window is filed under the leftmost of its interior symbols of the highest level reached.  In the end the
+windows filed under one symbol meet, each chunk's equal stretches folded to their smallest document, and are verified on the names of their words:
+ranks of pairs of ranks of 1, 2, 4, ... names give equal windows, and nothing else, equal ranks.
+
+A chunk writes its state after each round, so a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -20,170 +21,463 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrays import U64, WHITE, buffers, covered, expand, mix, pieces, ranges, squeeze, window_hashes, word_hashes, words
-from .repeats import remove_repeats, rows
+from .arrays import U64, WHITE, buffers, covered, expand, mix, pieces, planes, range_hashes, ranges, same, squeeze, values, word_hashes, words
+from .frames import Written, buckets, cut, small_batches, text_bytes
+from .repeats import OWN, SPANS, keyed, rows, without_spans
 
 #: Words in a window.
 WINDOW = 50
 #: Rounds of run and pair naming; symbols grow by about a third in each.
-ROUNDS = 7
-#: Bytes of a window's own fingerprint, beside its anchor's eight.
-PRINT_BYTES = 5
-
-
-def rename(symbols: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, fixed: np.ndarray, number: int):
-    """One round.  Symbols with their first word and the words [low, high) that their naming looked at; `fixed` ones stand
-    between texts and never join.  The first and the last symbol are fixed."""
-    salt = U64(mix(np.array([number + 1], U64))[0])
-    head = np.ones(len(symbols), bool)
-    head[1:] = symbols[1:] != symbols[:-1]
-    at = np.flatnonzero(head)
-    length = np.diff(at, append=len(symbols))
-    run = symbols[at]
-    many = length > 1
-    run[many] = mix(run[many] * U64(0x9FB21C651E98DF25) + length[many].astype(U64) + salt)
-    before, after = np.maximum(at - 1, 0), np.minimum(at + length, len(symbols) - 1)
-    first, low, high, fixed, symbols = first[at], low[before], high[after], fixed[at], run
-
-    right = (mix(symbols ^ salt) & U64(1)).astype(bool)
-    left = ~right & ~fixed
-    right &= ~fixed
-    joins = np.zeros(len(symbols), bool)
-    joins[:-1] = left[:-1] & right[1:]
-    joined = np.zeros(len(symbols), bool)
-    joined[1:] = joins[:-1]
-    following = np.append(symbols[1:], U64(0))
-    named = np.where(joins, mix(symbols * U64(0xE7037ED1A0B428DB) + following * U64(0x8EBC6AF09C88C6E3) + salt), symbols)
-    next_high, previous_low = np.append(high[1:], high[-1:]), np.append(low[:1], low[:-1])
-    high = np.where(left, next_high, high)  # whether a left symbol joins depends on the next one,
-    low = np.where(right & ~joined, previous_low, low)  # and a right one on the one before
-    keep = ~joined
-    return named[keep], first[keep], low[keep], high[keep], fixed[keep]
-
-
-def anchored(symbols: np.ndarray, before: np.ndarray, window: int, rounds: int):
-    """Runs of windows with one anchor: (text, first window's word in it, windows, anchor), and all windows' fingerprints.
-
-    before: words before each text, one more entry for the end."""
-    texts = len(before) - 1
-    n_words = np.diff(before)
-    # places: every text's words, a fixed symbol before each text and one at the end
-    n = len(symbols) + texts + 1
-    place = np.arange(len(symbols)) + np.repeat(np.arange(1, texts + 1), n_words)
-    gaps = before + np.arange(texts + 1)
-    level = np.empty(n, U64)
-    level[place] = symbols
-    level[gaps] = mix(np.arange(texts + 1, dtype=U64) + U64(0x5851F42D4C957F2D))
-    fixed = np.zeros(n, bool)
-    fixed[gaps] = True
-    first = np.arange(n)
-    state = (level, first, first, first + 1, fixed)
-    levels = [state]
-    for k in range(rounds):
-        state = rename(*state, k)
-        levels.append(state)
-    prints = window_hashes(level, window)
-    per = np.maximum(n_words - window + 1, 0)
-    start = ranges(gaps[:-1] + 1, per)
-    anchor, owner = np.zeros(len(start), U64), np.full(len(start), -1, np.int64)
-    left = np.arange(len(start))
-    for k in range(rounds, -1, -1):
-        level, first, low, high, fixed = levels[k]
-        earlier = np.zeros(n + 1, np.int64)
-        np.cumsum(np.bincount(low, minlength=n)[:n], out=earlier[1:])
-        i = np.minimum(earlier[start[left]], len(level) - 1)
-        good = (low[i] >= start[left]) & (high[i] <= start[left] + window) & ~fixed[i]
-        done, i = left[good], i[good]
-        anchor[done] = mix(level[i] + U64(k))
-        owner[done] = first[i] * (rounds + 1) + k
-        left = left[~good]
-        if not len(left):
-            break
-    if not len(start):
+ROUNDS = 5
+#: Bytes of text in a chunk and for each bucket: what one task holds at once, to raise with larger executors.
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+#: Beyond any range.
+FAR = 1 << 60
+
+CHUNKS = "chunk long, docs binary, prints binary, n binary, tokens binary, bytes binary, lengths binary"
+FIELDS = ("docs", "prints", "n", "starts", "anchors", "words", "symbols", "sizes", "back", "ahead")
+STATE = "chunk long, " + ", ".join(f"{x} binary" for x in FIELDS)
+#: Definitions that a chunk sends to a bucket: of words their bytes, of symbols two runs (symbol, length; the second may be none); and which of them two texts of the chunk have.
+REQUEST = "bucket int, chunk long, defined binary, lengths binary, several binary"
+#: Their names, 0 for those that one text alone has.
+REPLY = "bucket int, chunk long, names binary"
+STRINGS = "bucket int, chunk long, docs binary, counts binary, names binary"
+LEAST = "bucket int, chunk long, least binary"
+
+
+def batch_of(schema: str, row: tuple) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split(" ") for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, t in zip(row, types)], names=list(names))
+
+
+def nothing(schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(c, kinds[t]) for c, t in (x.split(" ") for x in schema.split(", "))]).empty_table()
+
+
+# --- chunks --------------------------------------------------------------------------------------------------
+
+
+def spread(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes % U64(n)).astype(np.int64)
+
+
+def chunks_of(chunk_bytes: int, window: int, n_buckets: int):
+    """Chunks of the texts with a window's words at least.  Different words lie by bucket and fingerprint."""
+
+    def run(batches):
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            data = np.concatenate([x[0] for x in held])
+            shift = np.cumsum([0, *(len(x[0]) for x in held)])
+            starts, ends = (np.concatenate([x[k] + s for x, s in zip(held, shift)]) for k in (1, 2))
+            n, docs, prints = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
+            hashes, sample, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            if not same(data, starts, ends, data, starts[sample[which]], ends[sample[which]]).all():  # two words under one fingerprint
+                seen: dict[bytes, int] = {}
+                which = np.array([seen.setdefault(data[s:e].tobytes(), len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
+                sample = np.unique(which, return_index=True)[1]
+                hashes = word_hashes(data, starts[sample], ends[sample])
+            order = np.lexsort((hashes, spread(hashes, n_buckets)))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            s, length = starts[sample[order]], (ends - starts)[sample[order]]
+            row = (at, planes(docs), planes(prints), planes(n), planes(rank[which]), squeeze(data[ranges(s, length)]), planes(length))
+            held.clear()
+            return batch_of(CHUNKS, row)
+
+        for batch in batches:
+            ids, prints = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+            data, off = buffers(batch.column(1))
+            for a, b in pieces(off, 2_000_000):
+                part = data[off[a] : off[b]]
+                s, e, before = words(part, off[a : b + 1] - off[a], WHITE)
+                n = np.diff(before)
+                keep = n >= window
+                if not keep.any():
+                    continue
+                if size and size + len(part) > chunk_bytes:
+                    yield flush()
+                    at, size = at + 1, 0
+                of_kept = np.repeat(keep, n)
+                held.append((part, s[of_kept], e[of_kept], n[keep], ids[a:b][keep], prints[a:b][keep]))
+                size += len(part)
+        if held:
+            yield flush()
+
+    return run
+
+
+def text_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the gap before each text, and of the last gap): a gap stands before each text and after the last one."""
+    gaps = np.append(0, np.cumsum(n + 1))
+    return gaps[:-1], gaps[-1]
+
+
+def several_texts(code: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Which of n codes stand in two texts; texts ascend."""
+    first, last = np.full(n, -1), np.full(n, -1)
+    last[code] = text
+    first[code[::-1]] = text[::-1]
+    return first != last
+
+
+def request_words(n_buckets: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, tokens, body, length = values(row["n"]), values(row["tokens"]), expand(row["bytes"], np.uint8), values(row["lengths"])
+                several = several_texts(tokens, np.repeat(np.arange(len(n)), n), len(length))
+                upto = np.append(0, np.cumsum(length))
+                bucket = spread(range_hashes(body, upto[:-1], upto[1:]), n_buckets)
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+                    yield batch_of(REQUEST, (int(bucket[i]), row["chunk"], squeeze(body[upto[i] : upto[j]]), planes(length[i:j]), squeeze(several[i:j])))
+
+    return run
+
+
+# --- naming --------------------------------------------------------------------------------------------------
+
+
+def numbered(which: np.ndarray, different: int, chunk: np.ndarray, several: np.ndarray, bucket: int, n_buckets: int, number: int) -> np.ndarray:
+    """A name for each definition that two texts have, 0 for the others; `which`: the different definitions' numbers."""
+    shared = several_texts(which, chunk, different)
+    np.logical_or.at(shared, which, several)
+    name = np.where(shared, ((np.arange(different) * n_buckets + bucket) << 5) + number + 1, 0)
+    return name[which]
+
+
+def named(n_buckets: int, number: int):
+    """A round's naming in one bucket; round 0 names words."""
+
+    def of_words(defined: list[np.ndarray], lengths: list[np.ndarray]):
+        body, length = np.concatenate(defined), np.concatenate(lengths)
+        upto = np.append(0, np.cumsum(length))
+        s, e = upto[:-1], upto[1:]
+        _, sample, which = np.unique(range_hashes(body, s, e), return_index=True, return_inverse=True)
+        if same(body, s, e, body, s[sample[which]], e[sample[which]]).all():
+            return which, len(sample)
+        seen: dict[bytes, int] = {}
+        every = [body[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())]
+        for w in sorted(set(every)):
+            seen[w] = len(seen)
+        return np.array([seen[w] for w in every]), len(seen)
+
+    def of_symbols(defined: list[np.ndarray]):
+        parts = np.concatenate([d.view(np.int64).reshape(4, -1) for d in defined], axis=1)
+        _, sample, which = np.unique(definition_hashes(parts), return_index=True, return_inverse=True)
+        if (parts == parts[:, sample[which]]).all():
+            return which, len(sample)
+        different, which = np.unique(parts, axis=1, return_inverse=True)
+        return which.ravel(), different.shape[1]
+
+    def run(group: pa.Table) -> pa.Table:
+        got = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        several = [expand(r["several"], bool) for r in got]
+        defined = [expand(r["defined"], np.uint8) for r in got]
+        which, different = of_words(defined, [values(r["lengths"]) for r in got]) if number == 0 else of_symbols([unplaned(d) for d in defined])
+        n = np.array([len(x) for x in several])
+        names = numbered(which, different, np.repeat(np.arange(len(got)), n), np.concatenate(several), got[0]["bucket"], n_buckets, number)
+        upto = np.append(0, np.cumsum(n))
+        out = [batch_of(REPLY, (r["bucket"], r["chunk"], planes(names[i:j]))) for r, i, j in zip(got, upto, upto[1:])]
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+
+
+def definition_hashes(parts: np.ndarray) -> np.ndarray:
+    """Of columns (symbol, length, symbol, length)."""
+    out = mix(parts[0].view(U64) + U64(0x9FB21C651E98DF25))
+    for k in (1, 2, 3):
+        out = mix(out ^ mix(parts[k].view(U64) + U64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)))
+    return out
+
+
+# --- a chunk's symbols ---------------------------------------------------------------------------------------
+
+
+class State:
+    """A chunk after some rounds.  Positions count words and gaps.  `starts`, `anchors`: windows that may be shared and the symbols they are filed under;
+    `words`: names of words by position, 0 where no such window is; symbols cover all positions, those of name 0 hold what is given up, gaps included;
+    `back`, `ahead`: how far beyond a symbol its naming looked."""
+
+    def __init__(self, window: int, **fields: np.ndarray):
+        self.window = window
+        for k in FIELDS:
+            setattr(self, k, fields[k])
+
+    @property
+    def size(self) -> int:
+        return int(self.n.sum()) + len(self.n) + 1
+
+    def needed(self) -> np.ndarray:
+        return covered(self.size, self.starts, self.starts + self.window)
+
+    def row(self, chunk: int) -> pa.Table:
+        if not len(self.starts):
+            return nothing(STATE)  # nothing of this chunk can be a repeat
+        packed = {k: getattr(self, k) for k in FIELDS} | {"starts": np.diff(self.starts, prepend=0), "words": self.words[self.needed()]}
+        return pa.Table.from_batches([batch_of(STATE, (chunk, *(planes(packed[k]) for k in FIELDS)))])
+
+    @classmethod
+    def of(cls, row: dict, window: int) -> State:
+        fields = {k: values(row[k]) for k in FIELDS}
+        fields["starts"] = np.cumsum(fields["starts"])
+        out = cls(window, **fields)
+        held = np.zeros(out.size, np.int64)
+        held[out.needed()] = out.words
+        out.words = held
+        return out
+
+    def wanted(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which ranges lie in a window that may be shared."""
+        upto = np.zeros(self.size + 1, np.int64)
+        upto[1:][self.starts] = 1
+        np.cumsum(upto, out=upto)
+        out = (high - low <= self.window) & (low >= 0)
+        out[out] = upto[low[out] + 1] > upto[np.maximum(high[out] - self.window, 0)]
+        return out
+
+    def settle(self, symbols: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray) -> State:
+        """`lost` symbols have got no name: windows around their ranges go, then symbols that no window needs."""
+        lost = lost & (high - low <= self.window) & (low >= 0)
+        step = np.zeros(self.size + 1, np.int64)
+        np.add.at(step, np.maximum(high[lost] - self.window, 0), 1)
+        np.add.at(step, low[lost] + 1, -1)
+        left = np.cumsum(step)[self.starts] == 0
+        self.starts, self.anchors = self.starts[left], self.anchors[left]
+        symbols = np.where((symbols != 0) & self.wanted(low, high), symbols, 0)
+        head = np.ones(len(symbols), bool)
+        head[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
+        at = np.flatnonzero(head)
+        self.symbols, self.sizes = symbols[at], np.add.reduceat(sizes, at)
+        first = np.cumsum(self.sizes) - self.sizes
+        alive = self.symbols != 0
+        self.back, self.ahead = np.where(alive, first - low[at], 0), np.where(alive, high[at] - first - self.sizes, 0)
+        low, high, named_ = low[at][alive], high[at][alive], self.symbols[alive]
+        if len(named_):
+            i = np.searchsorted(low, self.starts)  # the leftmost symbol whose range begins in the window
+            j = np.minimum(i, len(low) - 1)
+            inside = (i < len(low)) & (high[j] <= self.starts + self.window)
+            self.anchors = np.where(inside, named_[j], self.anchors)
+        self.words = np.where(self.needed(), self.words, 0)
+        return self
+
+    def fused(self, number: int):
+        """The symbols of the next round: (symbols, sizes, low, high, is new, definitions of the new ones, their texts).  New ones are still without a name."""
+        alive = self.symbols != 0
+        first = np.cumsum(self.sizes) - self.sizes
+        low, high = np.where(alive, first - self.back, -FAR), np.where(alive, first + self.sizes + self.ahead, FAR)
+        head = np.ones(len(alive), bool)
+        head[1:] = ~alive[1:] | (self.symbols[1:] != self.symbols[:-1])
+        at = np.flatnonzero(head)
+        length = np.diff(at, append=len(alive))
+        low, high = low[np.maximum(at - 1, 0)], high[np.minimum(at + length, len(alive) - 1)]
+        symbols, sizes, alive, first = self.symbols[at], np.add.reduceat(self.sizes, at), alive[at], first[at]
+        low, high = np.where(alive, low, -FAR), np.where(alive, high, FAR)
+        salt = U64(mix(np.array([number + 1], U64))[0])
+        right = (mix(mix(symbols.view(U64) + salt) ^ length.astype(U64)) & U64(1)).astype(bool)
+        left, right = ~right & alive, right & alive
+        joins, joined = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
+        joins[:-1] = left[:-1] & right[1:]
+        joined[1:] = joins[:-1]
+        follow = lambda x: np.append(x[1:], x[-1:])
+        high, low = np.where(left, follow(high), high), np.where(right & ~joined, np.append(low[:1], low[:-1]), low)
+        defined = np.stack([symbols, length, np.where(joins, follow(symbols), 0), np.where(joins, follow(length), 0)])
+        sizes = np.where(joins, sizes + follow(sizes), sizes)
+        keep = ~joined
+        low, high, defined = low[keep], high[keep], defined[:, keep]
+        wanted = alive[keep] & self.wanted(low, high)
+        new = wanted & (joins[keep] | (length[keep] > 1))
+        symbols = np.where(wanted & ~new, symbols[keep], 0)
+        gaps, _ = text_of(self.n)
+        return symbols, sizes[keep], low, high, new, defined[:, new], np.searchsorted(gaps, first[keep][new], "right") - 1
+
+
+def by_bucket(defined: np.ndarray, n_buckets: int):
+    """(different definitions by bucket, their buckets, each definition's place among them)"""
+    hashes = definition_hashes(defined)
+    _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if not (defined == defined[:, sample[which]]).all():
+        _, sample, which = np.unique(defined, axis=1, return_index=True, return_inverse=True)
+        which = which.ravel()
+    bucket = spread(hashes[sample], n_buckets)
+    order = np.lexsort((hashes[sample], bucket))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return defined[:, sample[order]], bucket[order], rank[which]
+
+
+def request_symbols(n_buckets: int, window: int, number: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                *_, defined, text = State.of(row, window).fused(number)
+                if not len(text):
+                    continue
+                different, bucket, place = by_bucket(defined, n_buckets)
+                several = several_texts(place, text, len(bucket))
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+                    yield batch_of(REQUEST, (int(bucket[i]), row["chunk"], planes(np.ascontiguousarray(different[:, i:j]).ravel()), b"", squeeze(several[i:j])))
+
+    return run
+
+
+def names_of(answered: pa.Table) -> np.ndarray:
+    got = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
+    return np.concatenate([values(r["names"]) for r in got]) if got else np.zeros(0, np.int64)
+
+
+def take_words(window: int):
+    """A chunk's first state: its words with their names."""
+
+    def run(own: pa.Table, answered: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        n, names = values(row["n"]), names_of(answered)
+        gaps, last = text_of(n)
+        size = int(last) + 1
+        place = ranges(gaps + 1, n)
+        words_ = np.zeros(size, np.int64)
+        words_[place] = names[values(row["tokens"])]
+        first = np.arange(size)
+        lost = np.zeros(size, bool)
+        lost[place] = words_[place] == 0
+        starts = ranges(gaps + 1, n - window + 1)
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64), np.zeros(0, U64)
-    text = np.repeat(np.arange(texts), per)
-    head = np.ones(len(start), bool)
-    head[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(head)
-    return text[at], start[at] - gaps[text[at]] - 1, np.diff(at, append=len(start)), anchor[at], prints[start]
-
-
-PACKED = ("docs", "starts", "counts", "anchors", "body")
-RUNS = "bucket int, " + ", ".join(f"{x} binary" for x in PACKED)
-
-
-def emitter(window: int, rounds: int):
-    def emit(n: int):
-        def run(batches):
-            import pyarrow as pa
-
-            schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in PACKED)])
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                data, off = buffers(batch.column(1))
-                for a, b in pieces(off, 2_000_000):
-                    part = data[off[a] : off[b]]
-                    s, e, before = words(part, off[a : b + 1] - off[a], WHITE)
-                    text, start, count, anchor, prints = anchored(word_hashes(part, s, e), before, window, rounds)
-                    if not len(text):
-                        continue
-                    bucket = ((anchor >> U64(32)) % U64(n)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    at = np.cumsum(count) - count
-                    body = np.ascontiguousarray(prints[ranges(at[order], count[order])]).view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]
-                    bucket, docs, start, count, anchor = bucket[order], ids[a:b][text[order]], start[order], count[order], anchor[order]
-                    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    last, upto = np.append(edge[1:], len(bucket)), np.append(0, np.cumsum(count))
-                    yield rows(schema, [
-                        bucket[edge],
-                        [squeeze(docs[i:j].astype(np.int64)) for i, j in zip(edge, last)],
-                        [squeeze(start[i:j].astype(np.int32)) for i, j in zip(edge, last)],
-                        [squeeze(count[i:j].astype(np.uint8)) for i, j in zip(edge, last)],
-                        [anchor[i:j].tobytes() for i, j in zip(edge, last)],
-                        [body[upto[i] : upto[j]].tobytes() for i, j in zip(edge, last)],
-                    ])
-
-        return run
-
-    return emit
-
-
-def judge_with(window: int):
-    def judge(group: pa.Table) -> pa.Table:
-        def column(name, dtype, packed=True):
-            return np.concatenate([expand(x, dtype) if packed else np.frombuffer(x, dtype) for x in group[name].to_pylist()])
-
-        docs, start, count = column("docs", np.int64), column("starts", np.int32), column("counts", np.uint8).astype(np.int64)
-        anchor, body = column("anchors", U64, False), column("body", np.uint8, False).reshape(-1, PRINT_BYTES)
-        # symbols that one document alone has reveal nothing
-        order = np.argsort(anchor)
-        head = np.flatnonzero(np.diff(anchor[order], prepend=~anchor[order[:1]]))
-        d = docs[order]
-        shared = np.zeros(len(order), bool)
-        shared[order] = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), np.diff(head, append=len(order)))
-        keep = np.flatnonzero(shared)
-        at = np.cumsum(count) - count
-        docs, start, count, anchor, at = docs[keep], start[keep], count[keep], anchor[keep], at[keep]
-        out = ([], [], [])
-        if len(keep):
-            wide = np.zeros((int(count.sum()), 8), np.uint8)
-            wide[:, :PRINT_BYTES] = body[ranges(at, count)]
-            key = mix(wide.view(U64).ravel() * U64(0x9E3779B97F4A7C15) + np.repeat(anchor, count))
-            doc, word = np.repeat(docs, count), ranges(start, count)
-            order = np.argsort(key)
-            head = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-            least = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(head, append=len(order)))
-            later = np.zeros(len(order), bool)
-            later[order] = doc[order] > least
-            doc, word = doc[later], word[later]
-            edge = np.flatnonzero((np.diff(word, prepend=-9) != 1) | (np.diff(doc, prepend=-1) != 0))
-            out = (doc[edge], word[edge], np.append(word[edge[1:] - 1], word[-1:]) + window if len(edge) else word[edge])
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "start": pa.array(out[1], pa.int32()), "stop": pa.array(out[2], pa.int32())})
-
-    return judge
+        state = State(window, docs=values(row["docs"]), prints=values(row["prints"]), n=n, starts=starts, anchors=np.zeros(len(starts), np.int64), words=words_, symbols=none, sizes=none, back=none, ahead=none)
+        return state.settle(words_, np.ones(size, np.int64), first, first + 1, lost).row(row["chunk"])
+
+    return run
+
+
+def take_symbols(n_buckets: int, window: int, number: int):
+    def run(own: pa.Table, answered: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return nothing(STATE)
+        row = own.to_pylist()[0]
+        state = State.of(row, window)
+        symbols, sizes, low, high, new, defined, _ = state.fused(number)
+        if new.any():
+            _, _, place = by_bucket(defined, n_buckets)
+            symbols[new] = names_of(answered)[place]
+        return state.settle(symbols, sizes, low, high, new & (symbols == 0)).row(row["chunk"])
+
+    return run
+
+
+# --- verification --------------------------------------------------------------------------------------------
+
+
+def stretches(state: State, n_buckets: int):
+    """Windows in a row under one anchor: (first start, windows, text), then the different stretches by bucket: (bucket, smallest document, windows, names of
+    the words), and each one's number among them."""
+    gaps, _ = text_of(state.n)
+    text = np.searchsorted(gaps, state.starts, "right") - 1
+    head = np.flatnonzero((np.diff(state.starts, prepend=-9) != 1) | (np.diff(state.anchors, prepend=0) != 0))
+    start, count, text, anchor = state.starts[head], np.diff(head, append=len(state.starts)), text[head], state.anchors[head]
+    seen: dict[tuple, list] = {}
+    number = np.empty(len(start), np.int64)
+    for k, (s, c, a, d) in enumerate(zip(start.tolist(), count.tolist(), anchor.tolist(), state.docs[text].tolist())):
+        entry = seen.setdefault((a, state.words[s : s + c + state.window - 1].tobytes()), [len(seen), d, c])
+        entry[1] = min(entry[1], d)
+        number[k] = entry[0]
+    bucket = spread(mix(np.array([a for a, _ in seen], np.int64).view(U64)), n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    held = [(*entry[1:], names) for (_, names), entry in seen.items()]
+    return start, count, text, bucket[order], [held[k] for k in order.tolist()], rank[number] if len(rank) else number
+
+
+def send_stretches(n_buckets: int, window: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, _, bucket, held, _ = stretches(State.of(row, window), n_buckets)
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+                    docs, counts, names = zip(*held[i:j])
+                    yield batch_of(STRINGS, (int(bucket[i]), row["chunk"], planes(np.array(docs)), planes(np.array(counts)), planes(np.frombuffer(b"".join(names), np.int64))))
+
+    return run
+
+
+def window_ranks(names: np.ndarray, window: int) -> np.ndarray:
+    """Numbers of the windows from each place on: equal for equal windows only."""
+    rank, have = np.unique(names, return_inverse=True)[1], 1
+    while have < window:
+        step = min(have, window - have)
+        rank = np.unique(rank[:-step] * (int(rank.max(initial=0)) + 1) + rank[step:], return_inverse=True)[1]
+        have += step
+    return rank
+
+
+def verified(window: int):
+    """For each window of each stretch the smallest document that has it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        got = group.to_pylist()
+        seen: dict[bytes, int] = {}
+        docs, counts, which, sent = [], [], [], []
+        for r in got:
+            count, names = values(r["counts"]), values(r["names"])
+            upto = np.append(0, np.cumsum(count + window - 1))
+            sent.append(len(count))
+            for d, c, i, j in zip(values(r["docs"]).tolist(), count.tolist(), upto.tolist(), upto[1:].tolist()):
+                k = seen.setdefault(names[i:j].tobytes(), len(seen))
+                if k == len(docs):
+                    docs.append(d)
+                    counts.append(c)
+                docs[k] = min(docs[k], d)
+                which.append(k)
+        names, count, doc, which = np.frombuffer(b"".join(seen), np.int64), np.array(counts), np.array(docs), np.array(which)
+        length = count + window - 1
+        at = np.cumsum(length) - length
+        rank = window_ranks(names, window)[ranges(at, count)]
+        least = np.full(int(rank.max()) + 1, FAR)
+        np.minimum.at(least, rank, np.repeat(doc, count))
+        least, from_, upto = least[rank], np.cumsum(count) - count, np.append(0, np.cumsum(sent))
+        out = [(r["bucket"], r["chunk"], planes(least[ranges(from_[which[i:j]], count[which[i:j]])])) for r, i, j in zip(got, upto, upto[1:])]
+        return pa.Table.from_batches([batch_of(LEAST, x) for x in out])
+
+    return run
+
+
+def marked(n_buckets: int, window: int):
+    """Spans of a chunk's rows that stand in a smaller document too."""
+
+    def run(own: pa.Table, answered: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64)] * 4
+        if own.num_rows and answered.num_rows:
+            state = State.of(own.to_pylist()[0], window)
+            start, count, text, _, held, number = stretches(state, n_buckets)
+            got = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
+            least = np.concatenate([values(r["least"]) for r in got])
+            sizes = np.array([c for _, c, _ in held])
+            least = least[ranges((np.cumsum(sizes) - sizes)[number], count)]
+            gaps, _ = text_of(state.n)
+            text, place = np.repeat(text, count), ranges(start, count)
+            later = state.docs[text] > least
+            text, place = text[later], place[later]
+            edge = np.flatnonzero((np.diff(place, prepend=-9) != 1))
+            first, last = place[edge], np.append(place[edge[1:] - 1], place[-1:]) if len(edge) else place[edge]
+            text = text[edge]
+            out = state.docs[text], state.prints[text], first - gaps[text] - 1, last - gaps[text] - 1 + window
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("doc_id", "print", "start", "stop"), out, types)})
+
+    return run
 
 
 def finish(batches):
@@ -209,20 +503,41 @@ def finish(batches):
             n_removed.append(len(all_words) - len(kept))
             sums.append(hashlib.sha256(joined).hexdigest())
             kept_text.append(raw)
-        carried = [c for c in cols if c not in ("doc_id", "text", "_starts", "_stops")]
+        carried = [c for c in cols if c not in OWN]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *carried]
         arrays = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string()), *(cols[c] for c in carried)]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def dedup_substrings(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, carry: list[str] = []) -> DataFrame:
+def repeated_spans(documents: DataFrame, window: int, rounds: int, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
+    """(doc_id, print, start, stop) of the words that stand in a smaller document too, in windows."""
+    n = buckets(text_bytes(documents), bucket_bytes)
+    by = lambda df, name: df.groupBy(name)
+    old = Written(keyed(documents).where("doc_id is not null").mapInArrow(chunks_of(chunk_bytes, window, n), CHUNKS))
+    replies = by(old.frame.mapInArrow(request_words(n), REQUEST), "bucket").applyInArrow(named(n, 0), REPLY)
+    state = Written(by(old.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_words(window), STATE))
+    old.remove()
+    for k in range(1, rounds + 1):
+        replies = by(state.frame.mapInArrow(request_symbols(n, window, k), REQUEST), "bucket").applyInArrow(named(n, k), REPLY)
+        old, state = state, Written(by(state.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_symbols(n, window, k), STATE))
+        old.remove()
+    least = by(state.frame.mapInArrow(send_stretches(n, window), STRINGS), "bucket").applyInArrow(verified(window), LEAST)
+    spans = cut(by(state.frame, "chunk").cogroup(by(least, "chunk")).applyInArrow(marked(n, window), SPANS))
+    state.remove()
+    return spans
+
+
+def dedup_substrings(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, carry: list[str] = [], chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, *carry): every word removed that a window of `window` words covers
     whose word sequence also starts in a document with a smaller doc_id.
 
-    Null text has no words.  Texts under `window` words lose nothing.  Repeats inside one document stay.  Rows with one doc_id
-    count as one document each and never take words from one another.  A null doc_id takes no part: its text stays.
-    Other columns are ignored unless named in `carry`.  An empty table gives an empty result.
-    kept_sha256 is of the kept words joined by one space; kept_text is the text without the removed stretches, as it was laid out."""
+    Null text has no words.  Texts under `window` words lose nothing.  Repeats inside one document stay.  Rows that share a doc_id are judged
+    each and never take words from one another.  A null doc_id takes no part: its text stays.  Other columns are ignored unless named in
+    `carry`, where doc_id, text, _print, _starts and _stops are refused.  An empty table gives an empty result.
+    kept_sha256 is of the kept words joined by one space; kept_text is the text without the removed stretches, as it was laid out.
+    `rounds` is from 0 to 30.  A text is held whole by one task, at about 40 bytes of memory for each of its bytes."""
+    small_batches(documents.sparkSession)
     types = dict(documents.dtypes)
+    spans = repeated_spans(documents, window, rounds, chunk_bytes, bucket_bytes)
     finished = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {types[c]}" for c in carry)
-    return remove_repeats(documents, emitter(window, rounds), judge_with(window), finish, finished, RUNS, 1_500_000, carry)
+    return without_spans(documents, spans, finish, finished, carry)

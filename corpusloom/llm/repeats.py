@@ -1,10 +1,7 @@
-"""The dataflow that both exact repeat removers share.
+"""What both exact repeat removers share: rows with a key of their own, and spans that meet their row again.
 
-Places of a text that cover a long window are cut into *anchored runs*: each window is filed under
-one anchor that depends on the window's content alone, so equal windows of any two documents
-meet in one bucket.  Runs travel packed, a few kilobytes for each (batch, bucket), so the shuffle moves
-bytes instead of a row for each window.  A bucket answers with the spans that also start in a
-smaller document; spans meet their document again in one join.
+A row is known by its doc_id and a fingerprint of its text, so two texts under one doc_id are judged each; rows that are equal
+in both have the same spans.
 """
 
 from __future__ import annotations
@@ -15,29 +12,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import buckets, cut, release, small_batches
-
-SPANS = "doc_id long, start int, stop int"
+SPANS = "doc_id long, print long, start int, stop int"
+#: Names that the finishing pass takes for itself.
+OWN = ("doc_id", "text", "_print", "_starts", "_stops")
 
 
 def rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def remove_repeats(
-    documents: DataFrame, emit: Callable, judge: Callable, finish: Callable, finished: str, schema: str, bucket_bytes: int, carry: list[str] = []
-) -> DataFrame:
-    """`emit(n)` makes the mapper from texts to packed runs over n buckets, `judge` finds a bucket's spans
-    that start in a smaller document too, `finish` applies a document's spans.  doc_id is unique and not null for
-    the rows judged; rows with a null doc_id keep their text whole, as nothing orders them."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    n = buckets(documents, bucket_bytes)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = texts.where("doc_id is not null").mapInArrow(emit(n), schema)
-    spans = cut(runs.groupBy("bucket").applyInArrow(judge, SPANS))
-    del runs
-    release(spark)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))
-    kept = documents.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", F.col("text").cast("string").alias("text"), *carry)
-    return kept.join(by_doc, "doc_id", "left").mapInArrow(finish, finished)
+def refuse(carry: list[str], taken: tuple[str, ...]) -> None:
+    if clash := sorted(set(carry) & set(taken)):
+        raise ValueError(f"carried columns need other names than {clash}")
+
+
+def keyed(documents: DataFrame, carry: list[str] = []) -> DataFrame:
+    """(doc_id, text, _print, *carry)"""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_print"), *(F.col(f"`{c}`") for c in carry))
+
+
+def without_spans(documents: DataFrame, spans: DataFrame, finish: Callable, finished: str, carry: list[str]) -> DataFrame:
+    """`finish` applies to each row of the documents the spans (SPANS) of its key."""
+    refuse(carry, OWN)
+    by_row = spans.groupBy("doc_id", F.col("print").alias("_print")).agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))
+    return keyed(documents, carry).join(by_row, ["doc_id", "_print"], "left").select("doc_id", "text", "_starts", "_stops", *carry).mapInArrow(finish, finished)

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import BASE, U64, buffers, byte_values, covered, expand, mix, pieces, powers, ranges, squeeze
-from .repeats import remove_repeats, rows
+from .arrays import MASK, U64, blocks, buffers, covered, expand, mix, pieces, range_hashes, ranges, squeeze
+from .frames import buckets, cut, small_batches, text_bytes
+from .repeats import SPANS, keyed, rows, without_spans
 from .runindex import smallest_owner
 
 #: Bytes in a window, and in the gram that files it.
@@ -25,10 +26,13 @@ WINDOW, GRAM = 50, 10
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    n = len(data) - gram + 1
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(byte_values()[data] * powers(BASE, len(data)), out=total[1:])
-    return mix((total[gram:] - total[:-gram]) * powers(pow(BASE, -1, 1 << 64), n))
+    """Fingerprint of each `gram` consecutive bytes."""
+    n, at = len(data) - gram + 1, blocks(data)
+    out = mix(at[:n] & MASK[min(gram, 8)])
+    for k in range(8, gram, 8):
+        k = min(k, gram - 8)
+        out = mix(out ^ mix(at[k : k + n] + U64(k)))
+    return out
 
 
 def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int):
@@ -50,7 +54,9 @@ def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int):
     return np.repeat(np.arange(len(per)), per)[head], start[head], np.diff(head, append=len(start)), (at - start)[head], mix(grams[at[head]])
 
 
-PACKED = ("docs", "starts", "counts", "befores", "anchors", "body")
+#: Bytes of text for each bucket, to raise with larger executors.
+BUCKET_BYTES = 2_000_000
+PACKED = ("docs", "prints", "starts", "counts", "befores", "anchors", "body")
 RUNS = "bucket int, " + ", ".join(f"{x} binary" for x in PACKED)
 
 
@@ -61,7 +67,7 @@ def emitter(window: int, gram: int):
 
             schema = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in PACKED)])
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                ids, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
                 data, off = buffers(batch.column(1))
                 for a, b in pieces(off, 2_000_000):
                     part, base = data[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -74,13 +80,14 @@ def emitter(window: int, gram: int):
                     body = part[ranges(start, count + window - 1)]
                     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
                     last, upto = np.append(edge[1:], len(bucket)), np.append(0, np.cumsum(count + window - 1))
-                    docs, start = ids[a:b][text].astype(np.int64), (start - base[text]).astype(np.int32)
+                    docs, print_, start = ids[a:b][text].astype(np.int64), prints[a:b][text].astype(np.int64), (start - base[text]).astype(np.int32)
                     yield rows(schema, [
                         bucket[edge],
                         [squeeze(docs[i:j]) for i, j in zip(edge, last)],
+                        [squeeze(print_[i:j]) for i, j in zip(edge, last)],
                         [squeeze(start[i:j]) for i, j in zip(edge, last)],
-                        [squeeze(count[i:j].astype(np.uint8)) for i, j in zip(edge, last)],
-                        [squeeze(before[i:j].astype(np.uint8)) for i, j in zip(edge, last)],
+                        [squeeze(count[i:j].astype(np.int32)) for i, j in zip(edge, last)],
+                        [squeeze(before[i:j].astype(np.int32)) for i, j in zip(edge, last)],
                         [anchor[i:j].tobytes() for i, j in zip(edge, last)],
                         [squeeze(body[upto[i] : upto[j]]) for i, j in zip(edge, last)],
                     ])
@@ -90,18 +97,6 @@ def emitter(window: int, gram: int):
     return emit
 
 
-class Fingerprints:
-    """Of byte ranges of one array."""
-
-    def __init__(self, data: np.ndarray):
-        self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum(byte_values()[data] * powers(BASE, len(data)), out=self.total[1:])
-        self.back = powers(pow(BASE, -1, 1 << 64), len(data))
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.back[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
-
-
 def in_two(key: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Mask of rows whose key two documents have."""
     order = np.argsort(key)
@@ -112,7 +107,7 @@ def in_two(key: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def trimmed(prints: Fingerprints, at, anchor, docs, count, before, window: int, gram: int, parts: int = 4):
+def trimmed(body, blocked, at, anchor, docs, count, before, window: int, gram: int, parts: int = 4):
     """(string, windows skipped, windows left): the strings cut to windows that may be shared.
 
     A window with b bytes before its gram belongs to one of `parts` ranges [low, high] of b, and holds the bytes from `low` before the
@@ -125,7 +120,7 @@ def trimmed(prints: Fingerprints, at, anchor, docs, count, before, window: int,
         i = np.flatnonzero((most >= low) & (least <= high))
         gram_at = at[i] + before[i]
         rows_.append((i, low, high))
-        keys.append(prints.of(gram_at - low, gram_at + window - high) ^ anchor[i] + U64(low))
+        keys.append(range_hashes(body, gram_at - low, gram_at + window - high, blocked) ^ mix(anchor[i] + U64(low)))
     shared = in_two(np.concatenate(keys), np.concatenate([docs[i] for i, _, _ in rows_]))
     for i, low, high in rows_:
         mine, shared = i[shared[: len(i)]], shared[len(i) :]
@@ -136,30 +131,44 @@ def trimmed(prints: Fingerprints, at, anchor, docs, count, before, window: int,
     return keep, (most - high_b)[keep], (high_b - low_b + 1)[keep]
 
 
+def folded(body, blocked, at, length, anchor, docs):
+    """(order, new): strings in an order by anchor and content, the smallest document first, and whether each begins a new content.
+    Equality is of the bytes."""
+    print_ = range_hashes(body, at, at + length, blocked)
+    while True:
+        order = np.lexsort((docs, print_, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (print_[order][1:] != print_[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+        again = np.flatnonzero(~new)
+        here, before = order[again], order[again - 1]
+        alike = np.array_equal(length[here], length[before]) and np.array_equal(body[ranges(at[here], length[here])], body[ranges(at[before], length[before])])
+        if alike:
+            return order, new
+        seen: dict[bytes, int] = {}  # two contents under one fingerprint: tell them apart by their bytes
+        print_ = np.array([seen.setdefault(body[i : i + n].tobytes(), len(seen)) for i, n in zip(at.tolist(), length.tolist())], U64)
+
+
 def judge_with(window: int, gram: int):
     def judge(group: pa.Table) -> pa.Table:
         def column(name, dtype, packed=True):
             return np.concatenate([expand(x, dtype) if packed else np.frombuffer(x, dtype) for x in group[name].to_pylist()])
 
-        docs, start, count = column("docs", np.int64), column("starts", np.int32).astype(np.int64), column("counts", np.uint8).astype(np.int64)
-        anchor, before, body = column("anchors", U64, False), column("befores", np.uint8).astype(np.int64), column("body", np.uint8)
+        docs, rows_, start, count = column("docs", np.int64), column("prints", np.int64), column("starts", np.int32).astype(np.int64), column("counts", np.int32).astype(np.int64)
+        anchor, before, body = column("anchors", U64, False), column("befores", np.int32).astype(np.int64), column("body", np.uint8)
         length = count + window - 1
         at = np.cumsum(length) - length
         keep = np.flatnonzero(in_two(anchor, docs))
-        docs, start, count, anchor, before, length, at = (x[keep] for x in (docs, start, count, anchor, before, length, at))
+        docs, rows_, start, count, anchor, before, length, at = (x[keep] for x in (docs, rows_, start, count, anchor, before, length, at))
         body = body[ranges(at, length)]
         at = np.cumsum(length) - length
-        out = ([], [], [])
+        out = ([], [], [], [])
         if len(keep):
-            prints = Fingerprints(body)
-            keep, skipped, count = trimmed(prints, at, anchor, docs, count, before, window, gram)
-            docs, start, anchor, at, length = docs[keep], start[keep] + skipped, anchor[keep], at[keep] + skipped, count + window - 1
+            blocked = blocks(body)
+            keep, skipped, count = trimmed(body, blocked, at, anchor, docs, count, before, window, gram)
+            docs, rows_, start, anchor, at, length = docs[keep], rows_[keep], start[keep] + skipped, anchor[keep], at[keep] + skipped, count + window - 1
         if len(keep):
             # equal strings of one gram fold to the smallest document
-            print_ = prints.of(at, at + length)
-            order = np.lexsort((docs, print_, anchor))
-            new = np.ones(len(order), bool)
-            new[1:] = (print_[order][1:] != print_[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+            order, new = folded(body, blocked, at, length, anchor, docs)
             first = order[new]  # the different strings, each by its smallest document
             kind = np.empty(len(order), np.int64)
             kind[order] = np.cumsum(new) - 1
@@ -172,12 +181,13 @@ def judge_with(window: int, gram: int):
                 found = smallest_owner(body[ranges(at[some], length[some])], length[some], docs[some], group_of[several], window)
                 least[np.repeat(several, windows)] = found
             from_ = (np.cumsum(windows) - windows)[kind]
-            doc, byte = np.repeat(docs, count), ranges(start, count)
+            doc, row, byte = np.repeat(docs, count), np.repeat(rows_, count), ranges(start, count)
             later = doc > least[ranges(from_, count)]
-            doc, byte = doc[later], byte[later]
-            edge = np.flatnonzero((np.diff(byte, prepend=-9) != 1) | (np.diff(doc, prepend=-1) != 0))
-            out = (doc[edge], byte[edge], np.append(byte[edge[1:] - 1], byte[-1:]) + window if len(edge) else byte[edge])
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "start": pa.array(out[1], pa.int32()), "stop": pa.array(out[2], pa.int32())})
+            doc, row, byte = doc[later], row[later], byte[later]
+            edge = np.flatnonzero((np.diff(byte, prepend=-9) != 1) | (np.diff(doc, prepend=-1) != 0) | (np.diff(row, prepend=0) != 0))
+            out = (doc[edge], row[edge], byte[edge], np.append(byte[edge[1:] - 1], byte[-1:]) + window if len(edge) else byte[edge])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("doc_id", "print", "start", "stop"), out, types)})
 
     return judge
 
@@ -206,13 +216,18 @@ def finish(batches):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *carried])
 
 
-def dedup_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: list[str] = []) -> DataFrame:
+def dedup_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: list[str] = [], bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, *carry): every byte removed that a `window`-byte string
     covers which also starts in a document with a smaller doc_id; matches never cross documents.
 
-    Null text is empty.  Texts under `window` bytes lose nothing.  Repeats inside one document stay.  A null doc_id takes no part: its
-    text stays.  Other columns are ignored unless named in `carry`.  An empty table gives an empty result.
-    kept_bytes may cut a character; it is bytes for that reason."""
-    types = dict(documents.dtypes)
+    Null text is empty.  Texts under `window` bytes lose nothing.  Repeats inside one document stay.  Rows that share a doc_id are judged
+    each and never take bytes from one another.  A null doc_id takes no part: its text stays.  Other columns are ignored unless named in
+    `carry`, where doc_id, text, _print, _starts and _stops are refused.  An empty table gives an empty result.
+    kept_bytes may cut a character; it is bytes for that reason.  A text is held whole by one task, at about 55 bytes of memory for each of its bytes."""
+    small_batches(documents.sparkSession)
+    types, gram = dict(documents.dtypes), min(gram, window)
+    n = buckets(text_bytes(documents), bucket_bytes)
+    runs = keyed(documents).where("doc_id is not null").mapInArrow(emitter(window, gram)(n), RUNS)
+    spans = cut(runs.groupBy("bucket").applyInArrow(judge_with(window, gram), SPANS))
     finished = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary" + "".join(f", `{c}` {types[c]}" for c in carry)
-    return remove_repeats(documents, emitter(window, gram), judge_with(window, gram), finish, finished, RUNS, 2_000_000, carry)
+    return without_spans(documents, spans, finish, finished, carry)

@@ -53,3 +53,14 @@ def test_stages_on_odd_tables(spark, docs, empty):
             assert out.columns == frame.columns
             assert out.count() <= frame.count()
         assert P.packing(spark, frame, SF).count() >= frame.count()
+
+
+def test_rows_under_one_id_are_judged_each(spark):
+    good = " ".join(f"w{k % 97}x{k}" for k in range(120))
+    other = " ".join(f"v{k % 89}y{k}" for k in range(120))
+    rows = [(5, good), (5, "too short"), (None, other), (7, good), (7, other), (7, other)] + [(100 + k, " ".join(f"a{k}b{j}" for j in range(80))) for k in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.quality_rules(spark, docs, SF)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if t != "too short")
+    single = P.jaccard_join(spark, kept, SF)
+    assert sorted((r.doc_id or 0, r.text) for r in single.collect() if (r.doc_id or 0) < 100) == sorted([(5, good), (0, other), (7, other)])
