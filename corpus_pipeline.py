@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import decontaminate
@@ -14,28 +14,39 @@ from corpusloom.llm.recompression import dedup_substrings
 from corpusloom.llm.registry import tokenizer_path
 
 
-def rewritten(docs: DataFrame, operator) -> DataFrame:
-    """`operator(documents, carry)` with all columns but doc_id and text carried under names of their own;
-    its kept_text becomes the text, and n_chars follows it."""
+def aliased(docs: DataFrame, *more: Column) -> tuple[DataFrame, list[str]]:
+    """The documents with all columns but doc_id and text under names of their own, and these names."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)))
-    out = operator(plain, [f"_c{k}" for k in range(len(others))])
-    values = {c: F.col(f"_c{k}") for k, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
-    if "n_chars" in values:
-        values["n_chars"] = F.length("kept_text").cast("long")
-    return out.select(*(values[c].alias(c) for c in docs.columns))
+    names = [f"_c{k}" for k in range(len(others))]
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(others, names)), *more), names
+
+
+def restored(out: DataFrame, docs: DataFrame, text: str = "text", **changed: Column) -> DataFrame:
+    """Columns of `out` under the names of the documents."""
+    others = iter(range(len(docs.columns)))
+    values = {c: F.col(text if c == "text" else c) if c in ("doc_id", "text") else F.col(f"_c{next(others)}") for c in docs.columns}
+    return out.select(*((changed[c] if c in changed else values[c]).alias(c) for c in docs.columns))
+
+
+def rewritten(docs: DataFrame, operator) -> DataFrame:
+    """`operator(documents, carry)`; its kept_text becomes the text, and n_chars follows it."""
+    plain, names = aliased(docs)
+    return restored(operator(plain, names), docs, "kept_text", n_chars=F.length("kept_text").cast("long"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; so do rows without a doc_id, which nothing can follow."""
-    kept = apply_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Rejected rows go, each by its own verdict; rows without a doc_id are judged like any other."""
+    plain, names = aliased(docs, F.col("text").alias("_text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
+    return restored(apply_rules(plain, ["_text", *names]).where("kept"), docs, "_text")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    kept = jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest id stays, equal rows once.  Two texts under this id stay both, as one
+    document; rows without a doc_id take no part and stay."""
+    kept = jaccard_components(docs).where("component_id = doc_id").select("doc_id", F.col("text_print").alias("_print")).distinct()
+    plain, _ = aliased(docs, F.xxhash64(F.col("text").cast("string")).alias("_print"))
+    with_id = plain.join(kept, ["doc_id", "_print"], "left_semi").dropDuplicates(["doc_id", "_print"])
+    return restored(with_id.unionByName(plain.where("doc_id is null")), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
