@@ -110,12 +110,12 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.
     return out
 
 
-def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether the bytes [start, end) of data are the bytes [from, to) of other."""
+def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes [start, end) of data are the bytes [from, to) of other; `at`: blocks(data), if the caller has them."""
     n = ends - starts
     out = n == to - from_
-    here, there = blocks(data), blocks(other) if other is not data else None
-    there = here if there is None else there
+    here = blocks(data) if at is None else at
+    there = here if other is data else blocks(other)
     left = np.flatnonzero(out & (n <= SHORT))
     for k in range(0, SHORT, 8):
         left = left[n[left] > k]
@@ -130,8 +130,19 @@ def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarr
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(data, starts, ends)
+word_hashes = range_hashes
+
+
+def word_kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, a place of each different word, each word's number among them), by bytes."""
+    at = blocks(data)
+    hashes = range_hashes(data, starts, ends, at)
+    sample, which = kinds(hashes)
+    if not same(data, starts, ends, data, starts[sample[which]], ends[sample[which]], at).all():  # two words under one fingerprint
+        seen: dict[bytes, int] = {}
+        which = np.array([seen.setdefault(data[s:e].tobytes(), len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
+        sample = np.unique(which, return_index=True)[1]
+    return hashes[sample], sample, which
 
 
 def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -172,12 +183,32 @@ def expand(b: bytes, dtype) -> np.ndarray:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """64-bit values by byte, so that what is small compresses well."""
-    return squeeze(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    """64-bit values by byte, as many bytes as the largest one has, so that what is small compresses well."""
+    u = np.ascontiguousarray(a, np.int64).view(U64)
+    width = (int(np.bitwise_or.reduce(u)).bit_length() + 7) // 8 if len(u) else 0
+    out = np.empty((width, len(u)), np.uint8)
+    for k in range(width):
+        out[k] = (u >> U64(8 * k)).astype(np.uint8)
+    return bytes([width]) + len(u).to_bytes(8, "little") + squeeze(out)
 
 
 def values(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(expand(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    width, n = b[0], int.from_bytes(b[1:9], "little")
+    raw, out = expand(b[9:], np.uint8).reshape(width, n), np.zeros(n, U64)
+    for k in range(width):
+        out |= raw[k].astype(U64) << U64(8 * k)
+    return out.view(np.int64)
+
+
+def kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different key, in the order of keys; each key's number among them)"""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return order[head], which
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import buffers, pieces, ranges, same, word_hashes
+from .arrays import buffers, pieces, ranges, word_kinds
 from .frames import small_batches
 
 WINDOW, END_ID = 2048, 1
@@ -107,11 +107,7 @@ class Words:
         ends[:-1] &= ~inside[1:] | cut
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         raw = data.tobytes()
-        unique, sample, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if not same(data, starts, ends, data, starts[sample[which]], ends[sample[which]]).all():  # two parts under one fingerprint
-            seen: dict[bytes, int] = {}
-            which = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
-            sample = np.unique(which, return_index=True)[1]
+        _, sample, which = word_kinds(data, starts, ends)
         if len(self.known) > self.most:
             self.clear()
         keys = [raw[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]

@@ -8,7 +8,7 @@ have the same interior symbols everywhere, and a symbol that one text alone has
 
 With each symbol goes the range of words its naming looked at.  A window of 50 words with a nameless symbol's range in it stands
 nowhere else and is given up at once; what no window needs any more is merged into blocks without a name, so after a few
-rounds little but repeated passages is left.  A window is filed under the leftmost of its interior symbols of the highest level reached.  In the end the
+rounds little but repeated passages is left.  A window is filed under one of its interior symbols of the highest level reached.  In the end the
 windows filed under one symbol meet, each chunk's equal stretches folded to their smallest document, and are verified on the names of their words:
 ranks of pairs of ranks of 1, 2, 4, ... names give equal windows, and nothing else, equal ranks.
 
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrays import U64, WHITE, buffers, covered, expand, mix, pieces, planes, range_hashes, ranges, same, squeeze, values, word_hashes, words
+from .arrays import U64, WHITE, buffers, covered, expand, kinds, mix, pieces, planes, range_hashes, ranges, squeeze, values, word_kinds, words
 from .frames import Written, buckets, cut, small_batches, text_bytes
 from .repeats import OWN, SPANS, keyed, rows, without_spans
 
 #: Words in a window.
 WINDOW = 50
 #: Rounds of run and pair naming; symbols grow by about a third in each.
-ROUNDS = 5
+ROUNDS = 4
 #: Bytes of text in a chunk and for each bucket: what one task holds at once, to raise with larger executors.
 CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 #: Beyond any range.
@@ -48,15 +48,17 @@ STRINGS = "bucket int, chunk long, docs binary, counts binary, names binary"
 LEAST = "bucket int, chunk long, least binary"
 
 
+def arrow(schema: str) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(c, types[t]) for c, t in (x.split(" ") for x in schema.split(", "))])
+
+
 def batch_of(schema: str, row: tuple) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    names, types = zip(*(x.split(" ") for x in schema.split(", ")))
-    return pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, t in zip(row, types)], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow(schema))], schema=arrow(schema))
 
 
 def nothing(schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(c, kinds[t]) for c, t in (x.split(" ") for x in schema.split(", "))]).empty_table()
+    return arrow(schema).empty_table()
 
 
 # --- chunks --------------------------------------------------------------------------------------------------
@@ -77,12 +79,7 @@ def chunks_of(chunk_bytes: int, window: int, n_buckets: int):
             shift = np.cumsum([0, *(len(x[0]) for x in held)])
             starts, ends = (np.concatenate([x[k] + s for x, s in zip(held, shift)]) for k in (1, 2))
             n, docs, prints = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
-            hashes, sample, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            if not same(data, starts, ends, data, starts[sample[which]], ends[sample[which]]).all():  # two words under one fingerprint
-                seen: dict[bytes, int] = {}
-                which = np.array([seen.setdefault(data[s:e].tobytes(), len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
-                sample = np.unique(which, return_index=True)[1]
-                hashes = word_hashes(data, starts[sample], ends[sample])
+            hashes, sample, which = word_kinds(data, starts, ends)
             order = np.lexsort((hashes, spread(hashes, n_buckets)))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -160,18 +157,12 @@ def named(n_buckets: int, number: int):
         body, length = np.concatenate(defined), np.concatenate(lengths)
         upto = np.append(0, np.cumsum(length))
         s, e = upto[:-1], upto[1:]
-        _, sample, which = np.unique(range_hashes(body, s, e), return_index=True, return_inverse=True)
-        if same(body, s, e, body, s[sample[which]], e[sample[which]]).all():
-            return which, len(sample)
-        seen: dict[bytes, int] = {}
-        every = [body[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())]
-        for w in sorted(set(every)):
-            seen[w] = len(seen)
-        return np.array([seen[w] for w in every]), len(seen)
+        _, sample, which = word_kinds(body, s, e)
+        return which, len(sample)
 
     def of_symbols(defined: list[np.ndarray]):
-        parts = np.concatenate([d.view(np.int64).reshape(4, -1) for d in defined], axis=1)
-        _, sample, which = np.unique(definition_hashes(parts), return_index=True, return_inverse=True)
+        parts = np.concatenate([d.reshape(4, -1) for d in defined], axis=1)
+        sample, which = kinds(definition_hashes(parts))
         if (parts == parts[:, sample[which]]).all():
             return which, len(sample)
         different, which = np.unique(parts, axis=1, return_inverse=True)
@@ -180,8 +171,10 @@ def named(n_buckets: int, number: int):
     def run(group: pa.Table) -> pa.Table:
         got = sorted(group.to_pylist(), key=lambda r: r["chunk"])
         several = [expand(r["several"], bool) for r in got]
-        defined = [expand(r["defined"], np.uint8) for r in got]
-        which, different = of_words(defined, [values(r["lengths"]) for r in got]) if number == 0 else of_symbols([unplaned(d) for d in defined])
+        if number == 0:
+            which, different = of_words([expand(r["defined"], np.uint8) for r in got], [values(r["lengths"]) for r in got])
+        else:
+            which, different = of_symbols([values(r["defined"]) for r in got])
         n = np.array([len(x) for x in several])
         names = numbered(which, different, np.repeat(np.arange(len(got)), n), np.concatenate(several), got[0]["bucket"], n_buckets, number)
         upto = np.append(0, np.cumsum(n))
@@ -191,10 +184,6 @@ def named(n_buckets: int, number: int):
     return run
 
 
-def unplaned(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
-
-
 def definition_hashes(parts: np.ndarray) -> np.ndarray:
     """Of columns (symbol, length, symbol, length)."""
     out = mix(parts[0].view(U64) + U64(0x9FB21C651E98DF25))
@@ -206,6 +195,18 @@ def definition_hashes(parts: np.ndarray) -> np.ndarray:
 # --- a chunk's symbols ---------------------------------------------------------------------------------------
 
 
+def least_of(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least key of each range, none of them empty, from the least of all ranges of 1, 2, 4, ... keys."""
+    n, out, level, width = ends - starts, np.empty(len(starts), keys.dtype), keys, 1
+    while len(n):
+        mine = (n >= width) & (n < 2 * width)
+        out[mine] = np.minimum(level[starts[mine]], level[ends[mine] - width])
+        if int(n.max()) < 2 * width:
+            break
+        level, width = np.minimum(level[:-width], level[width:]), 2 * width
+    return out
+
+
 class State:
     """A chunk after some rounds.  Positions count words and gaps.  `starts`, `anchors`: windows that may be shared and the symbols they are filed under;
     `words`: names of words by position, 0 where no such window is; symbols cover all positions, those of name 0 hold what is given up, gaps included;
@@ -221,7 +222,10 @@ class State:
         return int(self.n.sum()) + len(self.n) + 1
 
     def needed(self) -> np.ndarray:
-        return covered(self.size, self.starts, self.starts + self.window)
+        step = np.zeros(self.size + 1, np.int64)
+        step[self.starts] = 1
+        step[self.starts + self.window] -= 1
+        return np.cumsum(step[:-1]) > 0
 
     def row(self, chunk: int) -> pa.Table:
         if not len(self.starts):
@@ -248,12 +252,11 @@ class State:
         out[out] = upto[low[out] + 1] > upto[np.maximum(high[out] - self.window, 0)]
         return out
 
-    def settle(self, symbols: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray) -> State:
-        """`lost` symbols have got no name: windows around their ranges go, then symbols that no window needs."""
+    def settle(self, symbols: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, last: bool = False) -> State:
+        """`lost` symbols have got no name: windows around their ranges go, then symbols that no window needs.  In the last round a window is
+        filed under the least of its interior symbols by a hash, which many windows in a row share; before, under the leftmost."""
         lost = lost & (high - low <= self.window) & (low >= 0)
-        step = np.zeros(self.size + 1, np.int64)
-        np.add.at(step, np.maximum(high[lost] - self.window, 0), 1)
-        np.add.at(step, low[lost] + 1, -1)
+        step = np.bincount(np.maximum(high[lost] - self.window, 0), minlength=self.size + 1) - np.bincount(low[lost] + 1, minlength=self.size + 1)
         left = np.cumsum(step)[self.starts] == 0
         self.starts, self.anchors = self.starts[left], self.anchors[left]
         symbols = np.where((symbols != 0) & self.wanted(low, high), symbols, 0)
@@ -266,10 +269,11 @@ class State:
         self.back, self.ahead = np.where(alive, first - low[at], 0), np.where(alive, high[at] - first - self.sizes, 0)
         low, high, named_ = low[at][alive], high[at][alive], self.symbols[alive]
         if len(named_):
-            i = np.searchsorted(low, self.starts)  # the leftmost symbol whose range begins in the window
-            j = np.minimum(i, len(low) - 1)
-            inside = (i < len(low)) & (high[j] <= self.starts + self.window)
-            self.anchors = np.where(inside, named_[j], self.anchors)
+            i, stop = np.searchsorted(low, self.starts), np.searchsorted(high, self.starts + self.window, "right")  # those whose range begins and ends in the window
+            inside = i < stop
+            anchor = least_of(mix(named_.view(U64)), i[inside], stop[inside]).view(np.int64) if last else named_[i[inside]]
+            self.anchors = self.anchors.copy()
+            self.anchors[inside] = anchor
         self.words = np.where(self.needed(), self.words, 0)
         return self
 
@@ -307,7 +311,7 @@ class State:
 def by_bucket(defined: np.ndarray, n_buckets: int):
     """(different definitions by bucket, their buckets, each definition's place among them)"""
     hashes = definition_hashes(defined)
-    _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+    sample, which = kinds(hashes)
     if not (defined == defined[:, sample[which]]).all():
         _, sample, which = np.unique(defined, axis=1, return_index=True, return_inverse=True)
         which = which.ravel()
@@ -339,7 +343,7 @@ def names_of(answered: pa.Table) -> np.ndarray:
     return np.concatenate([values(r["names"]) for r in got]) if got else np.zeros(0, np.int64)
 
 
-def take_words(window: int):
+def take_words(window: int, last: bool):
     """A chunk's first state: its words with their names."""
 
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
@@ -356,12 +360,12 @@ def take_words(window: int):
         starts = ranges(gaps + 1, n - window + 1)
         none = np.zeros(0, np.int64)
         state = State(window, docs=values(row["docs"]), prints=values(row["prints"]), n=n, starts=starts, anchors=np.zeros(len(starts), np.int64), words=words_, symbols=none, sizes=none, back=none, ahead=none)
-        return state.settle(words_, np.ones(size, np.int64), first, first + 1, lost).row(row["chunk"])
+        return state.settle(words_, np.ones(size, np.int64), first, first + 1, lost, last).row(row["chunk"])
 
     return run
 
 
-def take_symbols(n_buckets: int, window: int, number: int):
+def take_symbols(n_buckets: int, window: int, number: int, last: bool):
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
         if not own.num_rows:
             return nothing(STATE)
@@ -371,7 +375,7 @@ def take_symbols(n_buckets: int, window: int, number: int):
         if new.any():
             _, _, place = by_bucket(defined, n_buckets)
             symbols[new] = names_of(answered)[place]
-        return state.settle(symbols, sizes, low, high, new & (symbols == 0)).row(row["chunk"])
+        return state.settle(symbols, sizes, low, high, new & (symbols == 0), last).row(row["chunk"])
 
     return run
 
@@ -415,10 +419,10 @@ def send_stretches(n_buckets: int, window: int):
 
 def window_ranks(names: np.ndarray, window: int) -> np.ndarray:
     """Numbers of the windows from each place on: equal for equal windows only."""
-    rank, have = np.unique(names, return_inverse=True)[1], 1
+    rank, have = kinds(names)[1], 1
     while have < window:
         step = min(have, window - have)
-        rank = np.unique(rank[:-step] * (int(rank.max(initial=0)) + 1) + rank[step:], return_inverse=True)[1]
+        rank = kinds(rank[:-step] * (int(rank.max(initial=0)) + 1) + rank[step:])[1]
         have += step
     return rank
 
@@ -515,11 +519,11 @@ def repeated_spans(documents: DataFrame, window: int, rounds: int, chunk_bytes:
     by = lambda df, name: df.groupBy(name)
     old = Written(keyed(documents).where("doc_id is not null").mapInArrow(chunks_of(chunk_bytes, window, n), CHUNKS))
     replies = by(old.frame.mapInArrow(request_words(n), REQUEST), "bucket").applyInArrow(named(n, 0), REPLY)
-    state = Written(by(old.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_words(window), STATE))
+    state = Written(by(old.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_words(window, rounds == 0), STATE))
     old.remove()
     for k in range(1, rounds + 1):
         replies = by(state.frame.mapInArrow(request_symbols(n, window, k), REQUEST), "bucket").applyInArrow(named(n, k), REPLY)
-        old, state = state, Written(by(state.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_symbols(n, window, k), STATE))
+        old, state = state, Written(by(state.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_symbols(n, window, k, k == rounds), STATE))
         old.remove()
     least = by(state.frame.mapInArrow(send_stretches(n, window), STRINGS), "bucket").applyInArrow(verified(window), LEAST)
     spans = cut(by(state.frame, "chunk").cogroup(by(least, "chunk")).applyInArrow(marked(n, window), SPANS))
