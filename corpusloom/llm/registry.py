@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .frames import table
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .lm_scoring import cross_entropy_difference
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality_model import score_quality
 from .quality_rules import apply_rules
@@ -26,7 +28,8 @@ def tokenizer_path() -> str:
 
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    out = cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ def op7_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_combination_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_print")
 
 
 def op9_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +65,8 @@ def op9_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
+    return out.drop("longest", "coverage", "dropped")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
