@@ -1,58 +1,54 @@
-"""Structure of Markdown as column expressions over a documented subset of its syntax.
-
-Fenced code is taken out first; headings are ATX; lists, quotes and pipe tables are runs of lines; paragraphs are the
-other blocks between blank lines; bold, emphasis, inline code and links are counted by pattern.  Raw HTML is not parsed.
+"""Scores of Markdown.  What needs the block structure of a text comes from one pass of `mdparse` over it in Arrow batches; everything else,
+weights, penalties and scores, is column expressions.
 """
 
 from __future__ import annotations
 
-import math
+import sys
+from functools import cache
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import mdparse
 from .clean import garbage_hits, strip
+from .mdparse import TAGS
+
+# functions that run in Python workers are shipped by value, so executors need no copy of the library
+for _module in (__name__, mdparse.__name__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
 
-FENCE = r"(?ms)^```.*?^```[^\n]*$"
-RUNS = {
-    "ul": r"(?m)(?:^[-*+] [^\n]*+(?:\n|\z))++",
-    "ol": r"(?m)(?:^\d++\. [^\n]*+(?:\n|\z))++",
-    "blockquote": r"(?m)(?:^>[^\n]*+(?:\n|\z))++",
-}
-SINGLE = {
-    "li": r"(?m)^(?:[-*+]|\d+\.) ",
-    "hr": r"(?m)^(?:-{3,}|\*{3,}|_{3,})[ \t]*$",
-    "strong": r"\*\*[^*\n]+\*\*",
-    "code": r"`[^`\n]+`",
-    "a": r"\[[^\]\n]*\]\([^)\n]*\)",
-    **{f"h{k}": rf"(?m)^#{{{k}}}[^#\n]" for k in range(1, 7)},
-}
-EMPHASIS = r"\*[^*\s][^*\n]*\*"
-TABLE = r"(?m)^\|[^\n]*\|\n\|[ :|-]+\|(?:\n|\z)(?:\|[^\n]*+(?:\n|\z))*+"
-NOT_PARAGRAPH = r"^(?:#|[-*+] |\d+\. |>|\||-{3,}|\*{3,}|_{3,}|<)"
 # Tag classes and weights of the density score.
 LINEAR = ("table", "tr", "th", "td", "ul", "ol", "li")
 WEIGHTS = {**dict.fromkeys(("table", "tr", "th", "td"), 25.0), **dict.fromkeys(("ul", "ol", "li"), 10.0), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "math"), 5.0)}
 GAMMA, SCALE, HIT_COST, WALL_COST = 0.5, 150.0, 1.5, 5.0
-TAGS = ("table", "tr", "th", "td", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "strong", "em", "hr", "pre", "code", "blockquote", "p", "a")
+PROFILE = "tags array<int>, violations long, orphans double, invalid double"
+
+
+def _profiles(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([mdparse.profile(t) for t in texts], columns=["tags", "violations", "orphans", "invalid"])
+
+
+@cache
+def _profiler():
+    return F.pandas_udf(_profiles, PROFILE)
+
+
+def profile(text: Column) -> Column:
+    """struct<tags, violations, orphans, invalid>; null is empty.  All uses of one text's profile in a projection share one pass."""
+    return _profiler()(text)
+
+
+def counts_in(profile_: Column) -> dict[str, Column]:
+    """Tag -> number of its elements, from a profile."""
+    return {t: F.get(profile_["tags"], k).cast("bigint") for k, t in enumerate(TAGS)}
 
 
 def tag_counts(text: Column) -> dict[str, Column]:
     """Tag -> number of its elements in the text."""
-    body = F.regexp_replace(text, FENCE, "")
-    count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("bigint")
-    fences = F.regexp_count(text, F.lit(FENCE)).cast("bigint")
-    out = {k: count(p) for k, p in {**RUNS, **SINGLE}.items()}
-    tables = F.regexp_extract_all(body, F.lit(TABLE), F.lit(0))
-    total = lambda f: F.aggregate(tables, F.lit(0).cast("bigint"), lambda s, t: s + f(t).cast("bigint"))
-    lines = lambda t: F.regexp_count(t, F.lit(r"(?m)^\|"))
-    columns = lambda t: F.regexp_count(F.regexp_extract(t, r"^[^\n]*", 0), F.lit(r"\|")) - 1
-    out |= {"table": F.size(tables).cast("bigint"), "tr": total(lambda t: lines(t) - 1), "th": total(columns), "td": total(lambda t: columns(t) * (lines(t) - 2))}
-    out["em"] = F.regexp_count(F.regexp_replace(F.regexp_replace(body, SINGLE["strong"], ""), r"(?m)^[-*+] ", ""), F.lit(EMPHASIS)).cast("bigint")
-    out["pre"], out["code"] = fences, out["code"] + fences
-    blocks = F.split(body, r"\n\s*\n")
-    out["p"] = F.size(F.filter(F.transform(blocks, strip), lambda b: (b != "") & ~b.rlike(NOT_PARAGRAPH))).cast("bigint")
-    return {t: out[t] for t in TAGS}
+    return counts_in(profile(text))
 
 
 def density_bonus(counts: dict[str, Column], gamma: float = GAMMA) -> Column:
@@ -72,12 +68,14 @@ def garbage_penalty(text: Column) -> Column:
 
 def density(bonus: Column, penalty: Column, text: Column) -> Column:
     """0 to 100, unrounded."""
-    raw = bonus - penalty
-    return F.when((F.length(strip(text)) < 5) | (raw <= 0), F.lit(0.0)).otherwise(100 * (1 - F.exp(-raw / SCALE)))
+    raw = F.greatest(bonus - penalty, F.lit(0.0))
+    return F.when(F.length(strip(text)) < 5, F.lit(0.0)).otherwise(100 * (1 - F.exp(-raw / SCALE)))
 
 
-def density_score(text: Column, gamma: float = GAMMA) -> Column:
-    return density(density_bonus(tag_counts(text), gamma), garbage_penalty(text), text)
+def density_score(text: Column, gamma: float = GAMMA, profile_: Column | None = None) -> Column:
+    """`profile_`: the text's profile, if there is a column of it."""
+    counts = tag_counts(text) if profile_ is None else counts_in(profile_)
+    return density(density_bonus(counts, gamma), garbage_penalty(text), text)
 
 
 def word_count(text: Column) -> Column:
@@ -91,50 +89,22 @@ def token_word_ratio(text: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+")) / n)
 
 
-def without_front_matter(text: Column) -> Column:
-    closed = text.rlike(r"(?s)^\s*---.*?---")
-    return F.when(closed, F.regexp_replace(text, r"(?s)^\s*---.*?---\s*", "")).otherwise(text)
-
-
 def orphan_rate(text: Column) -> Column:
     """Share of chunks under no heading; a text without content counts as 1."""
-    mark = F.regexp_replace(without_front_matter(text), r"(?m)^(#{1,4} [^\n]*)$", "\u0001$1\u0002")
-    pieces = F.transform(F.split(mark, "\u0001"), lambda p: F.struct(F.regexp_extract(p, "(?s)^([^\u0002]*)\u0002", 1).alias("head"), (strip(F.regexp_replace(p, "(?s)^[^\u0002]*\u0002", "")) != "").alias("full")))
-    full = F.filter(pieces, lambda p: p["full"])
-
-    def rate(full: Column) -> Column:
-        chunks = F.size(F.filter(full, lambda p, i: (i == 0) | (p["head"] != F.coalesce(F.get(full, i - 1)["head"], F.lit("")))))
-        orphan = F.size(F.filter(full, lambda p, i: (i == 0) & (p["head"] == ""))).cast("double")
-        return F.when(chunks == 0, F.lit(1.0)).otherwise(orphan / chunks)
-
-    return F.get(F.transform(F.array(full), rate), 0)
+    return profile(text)["orphans"]
 
 
 def heading_violations(text: Column) -> Column:
-    """Headings more than one level below the one before, plus raw HTML blocks that are not table anchors.
-    A closed front-matter block reads as a second-level heading."""
-    levels = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^(#{1,6})[ \t]"), F.lit(1)), lambda x: F.length(x))
-    front = F.when(text.rlike(r"(?s)^---\n.+?\n---\n"), F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))
-    every = F.concat(front, levels)
-    skips = F.get(F.transform(F.array(every), lambda a: F.size(F.filter(a, lambda x, i: (i > 0) & (x > F.coalesce(F.get(a, i - 1), F.lit(9)) + 1)))), 0)
-    html = F.size(F.filter(F.split(text, r"\n\s*\n"), lambda b: strip(b).rlike(r"^<[A-Za-z/!]") & ~F.contains(b, F.lit("TABLE_ANCHOR"))))
-    return (skips + html).cast("bigint")
+    """Headings more than one level below the one before, plus raw HTML blocks that are not table anchors."""
+    return profile(text)["violations"]
 
 
 def front_matter_invalidity(text: Column) -> Column:
-    """0.0 if the text starts with a closed block of `key: value` lines, else 1.0."""
-    t = strip(text)
-    parts = F.split(t, "---")
-    lines = F.filter(F.split(F.get(parts, 1), "\n"), lambda x: strip(x) != "")
-    good = F.startswith(t, F.lit("---")) & (F.size(parts) >= 3) & (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"^[A-Za-z_][\w ]*:(?: .*)?$"))
-    return F.when(good, F.lit(0.0)).otherwise(F.lit(1.0))
+    """0.0 if the text starts with a closed block that is a YAML mapping, else 1.0."""
+    return profile(text)["invalid"]
 
 
 def composite(density_: Column, orphans: Column, ratio: Column, violations: Column, invalid: Column) -> Column:
     floor = lambda x: F.greatest(F.lit(0.0), x)
     tokens = floor(100 - 40 * floor(ratio - 1.5))
     return 0.40 * density_ + 0.30 * (1 - orphans) * 100 + 0.15 * tokens + 0.10 * floor(100 - 20.0 * violations) + 0.05 * F.when(invalid == 0, F.lit(100.0)).otherwise(F.lit(0.0))
-
-
-def decay_sum(n: int, gamma: float = GAMMA) -> float:
-    return n if gamma == 1 else (1 - math.pow(gamma, n)) / (1 - gamma)

@@ -35,6 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- cleaner -------------------------------------------------------------------------------------------------
 
+# The cleaner's patterns, in RE2 form.
 #: Rules of each query, and the same as RE2 steps (pattern, replacement) on DuckDB; None: SQL can't call back for each match.
 CLEANING = {
     "clean_page_numbers": (["page_numbers"], [(r"(?i)(?:p[áa]gina|pg\.?)\s*\d+(?:\s?de\s?\d+)?", "''")]),
@@ -58,7 +59,7 @@ CLEANING = {
 
 def cleaned(rules: list[str] | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        noisy = X.frame(spark, sf_dir, X.NOISY).withColumn("cleaned", C.clean(F.col("text"), rules))
+        noisy = assemble.fixed(assemble.spread(X.frame(spark, sf_dir, X.NOISY)), cleaned=C.clean(F.col("text"), rules))
         return noisy.select("doc_id", F.md5("cleaned").alias("cleaned_md5"), F.length("cleaned").cast("long").alias("n_chars"), (F.col("cleaned") != F.col("text")).alias("changed"))
 
     return run
@@ -164,41 +165,57 @@ def vision_skip_plan(spark, sf_dir):
 
 # --- Markdown scores -----------------------------------------------------------------------------------------
 
-_RE2 = {k: p.replace("++", "+").replace("*+", "*") for k, p in {**M.RUNS, **M.SINGLE}.items()}
-_TABLE = M.TABLE.replace("*+", "*")
-
-
-def tag_sql(column: str) -> dict[str, str]:
-    """Tag -> DuckDB expression on a text column; fences are taken out as in the engine."""
-    body = f"regexp_replace({column}, '{M.FENCE}', '', 'g')"
-    count = lambda p, t=body: f"len(regexp_extract_all({t}, '{p}'))"
-    out = {k: count(p) for k, p in _RE2.items()}
-    tables = f"regexp_extract_all({body}, '{_TABLE}')"
-    columns = "(len(regexp_extract_all(regexp_extract(t, '^[^\\n]*'), '\\|')) - 1)"
-    lines = "len(regexp_extract_all(t, '(?m)^\\|'))"
-    total = lambda e: f"coalesce(list_sum(list_transform({tables}, lambda t: {e})), 0)"
-    out |= {"table": f"len({tables})", "tr": total(f"{lines} - 1"), "th": total(columns), "td": total(f"{columns} * ({lines} - 2)")}
-    plain = f"regexp_replace(regexp_replace({body}, '{M.SINGLE['strong']}', '', 'g'), '(?m)^[-*+] ', '', 'g')"
-    out["em"] = count(M.EMPHASIS, plain)
-    fences = count(M.FENCE, column)
-    out["pre"], out["code"] = fences, f"({out['code']} + {fences})"
-    out["p"] = f"len(list_filter(list_transform(regexp_split_to_array({body}, '\\n\\s*\\n'), lambda b: trim(b, chr(10) || chr(9) || ' ')), lambda b: b <> '' AND NOT regexp_matches(b, '{M.NOT_PARAGRAPH}')))"
-    return {t: out[t] for t in M.TAGS}
+# What the recipe of the Markdown fixture holds by its key, counted by hand from the rules of the converter to HTML: the oracle reads no Markdown.
+_O = "doc_id"
+_TABLE_ROWS = f"(CASE WHEN {_O} % 7 < 3 THEN 2 + ({_O} % 2 = 0)::int ELSE 0 END)"
+_BY_KEY = {
+    "table": f"({_O} % 7 < 3)::int + ({_O} % 11 = 3)::int",
+    "tr": f"{_TABLE_ROWS} + 2 * ({_O} % 11 = 3)::int",
+    "th": f"2 * ({_O} % 7 < 3)::int + 2 * ({_O} % 11 = 3)::int",
+    "td": f"(CASE WHEN {_O} % 7 < 3 THEN 2 * ({_TABLE_ROWS} - 1) ELSE 0 END) + 2 * ({_O} % 11 = 3)::int",
+    "ul": f"1 + 2 * ({_O} % 11 = 2)::int",
+    "ol": f"({_O} % 11 = 5)::int",
+    "li": f"2 + ({_O} % 3 = 0)::int + 3 * ({_O} % 11 = 2)::int + 3 * ({_O} % 11 = 5)::int",
+    "h1": f"({_O} % 4 <> 3)::int + ({_O} % 11 = 0)::int",
+    "h2": f"({_O} % 5 = 2)::int + ({_O} % 10 = 3)::int + ({_O} % 6 = 1)::int + 2 * ({_O} % 6 = 2)::int",
+    "h3": f"({_O} % 6 = 0)::int",
+    "h4": f"({_O} % 6 = 1)::int",
+    "h5": "0",
+    "h6": "0",
+    "b": f"({_O} % 11 = 1)::int",
+    "strong": f"1 + ({_O} % 11 = 1)::int",
+    "i": "0",
+    "em": f"1 + ({_O} % 11 = 1)::int",
+    "hr": f"CASE WHEN {_O} % 5 = 0 OR {_O} % 10 = 8 THEN 2 WHEN {_O} % 5 = 4 THEN 0 ELSE 1 END",
+    "pre": f"({_O} % 6 = 4)::int + ({_O} % 11 = 4)::int",
+    "code": f"1 + ({_O} % 6 = 4)::int + ({_O} % 11 = 4)::int",
+    "blockquote": f"({_O} % 7 >= 3)::int",
+    "math": "0",
+    "p": f"1 + ({_O} % 5 = 0 OR {_O} % 5 = 1 OR {_O} % 10 = 8)::int + ({_O} % 4 = 3)::int + CASE {_O} % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END"
+    f" + CASE {_O} % 11 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 5 THEN 3 ELSE 0 END + 2 * ({_O} % 7 >= 3)::int",
+    "a": "1",
+}
+_WEIGHT = {**dict.fromkeys(("table", "tr", "th", "td"), 25.0), **dict.fromkeys(("ul", "ol", "li"), 10.0), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "math"), 5.0)}
+_GROWS = ("table", "tr", "th", "td", "ul", "ol", "li")
 
 
 _MD = X.duck(X.MARKDOWN)
-_TAGS = f"SELECT doc_id, text, {', '.join(f'{e} AS tag_{t}' for t, e in tag_sql('text').items())} FROM ({_MD})"
-_BONUS = " + ".join(f"tag_{t} * {M.WEIGHTS.get(t, 1.0)}" if t in M.LINEAR else f"{M.WEIGHTS.get(t, 1.0)} * (1 - pow({M.GAMMA}, tag_{t})) / (1 - {M.GAMMA})" for t in M.TAGS)
+_TAGS = f"SELECT doc_id, text, {', '.join(f'{e} AS tag_{t}' for t, e in _BY_KEY.items())} FROM ({_MD})"
+_BONUS = " + ".join(f"tag_{t} * {_WEIGHT.get(t, 1.0)}" if t in _GROWS else f"{_WEIGHT.get(t, 1.0)} * (1 - pow(0.5, tag_{t})) / 0.5" for t in _BY_KEY)
 _PENALTY = f"(1.5 * ({_HITS}) + CASE WHEN length(text) > 1000 AND len(regexp_extract_all(text, '\\n\\n')) < 2 THEN 5.0 ELSE 0.0 END)"
 _DENSITY = "CASE WHEN length(trim(text, chr(10) || ' ')) < 5 OR bonus - penalty <= 0 THEN 0.0 ELSE 100 * (1 - exp(-(bonus - penalty) / 150.0)) END"
 _SCORED = f"SELECT doc_id, text, bonus, penalty, {_DENSITY} AS density FROM (SELECT doc_id, text, {_BONUS} AS bonus, {_PENALTY} AS penalty FROM ({_TAGS}))"
 
 
 def markdown(spark, sf_dir):
-    return X.frame(spark, sf_dir, X.MARKDOWN)
+    return assemble.spread(X.frame(spark, sf_dir, X.MARKDOWN))
+
+
+def narratives(spark, sf_dir):
+    return assemble.spread(X.frame(spark, sf_dir, X.NARRATIVES))
 
 
-@query(f"SELECT doc_id, {', '.join(f'cast(tag_{t} AS bigint) AS tag_{t}' for t in M.TAGS)} FROM ({_TAGS})")
+@query(f"SELECT doc_id, {', '.join(f'cast(tag_{t} AS bigint) AS tag_{t}' for t in _BY_KEY)} FROM ({_TAGS})")
 def tag_counts(spark, sf_dir):
     return markdown(spark, sf_dir).select("doc_id", *(n.alias(f"tag_{t}") for t, n in M.tag_counts(F.col("text")).items()))
 
@@ -218,8 +235,10 @@ def density_score(spark, sf_dir):
     return markdown(spark, sf_dir).select("doc_id", F.round(M.density_score(F.col("text")), 4).alias("density"))
 
 
-_LEVELS = "list_concat(CASE WHEN regexp_matches(text, '(?s)^---\\n.+?\\n---\\n') THEN [2] ELSE [] END, list_transform(regexp_extract_all(text, '(?m)^(#{1,6})[ \\t]', 1), lambda x: length(x)))"
-_VIOLATIONS = f"len(list_filter(list_zip({_LEVELS}, list_concat([9], {_LEVELS})[:-2]), lambda p: p[1] > p[2] + 1)) + len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda b: regexp_matches(trim(b, chr(10) || ' '), '^<[A-Za-z/!]') AND NOT contains(b, 'TABLE_ANCHOR')))"
+# levels of the fixture's headings in order; its one raw HTML block
+_LEVELS = f"""list_concat(list_concat(CASE WHEN {_O} % 5 IN (0, 2) OR {_O} % 10 = 3 THEN [2] ELSE [] END, CASE WHEN {_O} % 4 <> 3 THEN [1] ELSE [] END),
+ list_concat(CASE WHEN {_O} % 11 = 0 THEN [1] ELSE [] END, CASE {_O} % 6 WHEN 0 THEN [3] WHEN 1 THEN [2, 4] WHEN 2 THEN [2, 2] ELSE [] END))"""
+_VIOLATIONS = f"(len(list_filter(list_zip({_LEVELS}, list_concat([9], {_LEVELS})[:-2]), lambda p: p[1] > p[2] + 1)) + ({_O} % 6 = 3)::int)"
 
 
 @query(f"SELECT doc_id, cast({_VIOLATIONS} AS bigint) AS violations FROM ({_MD})")
@@ -227,7 +246,7 @@ def heading_violations(spark, sf_dir):
     return markdown(spark, sf_dir).select("doc_id", M.heading_violations(F.col("text")).alias("violations"))
 
 
-_BARE = "CASE WHEN regexp_matches(text, '(?s)^\\s*---.*?---') THEN regexp_replace(text, '(?s)^\\s*---.*?---\\s*', '') ELSE text END"
+_BARE = "regexp_replace(CASE WHEN regexp_matches(text, '(?s)^\\s*---.*?---') THEN regexp_replace(text, '(?s)^\\s*---.*?---\\s*', '') ELSE text END, '(?ms)^(?:```|~~~).*?^(?:```|~~~)$', 'code', 'g')"
 _CHUNKS = f"SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace({_BARE}, '(?m)^(#{{1,4}} [^\\n]*)$', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda p: {{'head': CASE WHEN contains(p, chr(2)) THEN string_split(p, chr(2))[1] ELSE '' END, 'rest': trim(CASE WHEN contains(p, chr(2)) THEN string_split(p, chr(2))[2] ELSE p END, chr(10) || ' ')}}), lambda s: s.rest <> '') AS f FROM ({_MD})"
 _ORPHAN = "CASE WHEN len(f) = 0 THEN 1.0 ELSE cast(CASE WHEN f[1].head = '' THEN 1 ELSE 0 END AS double) / (1 + len(list_filter(list_zip(f[2:], f[:-2]), lambda p: p[1].head <> p[2].head))) END"
 
@@ -237,8 +256,7 @@ def orphan_rate(spark, sf_dir):
     return markdown(spark, sf_dir).select("doc_id", F.round(M.orphan_rate(F.col("text")), 6).alias("orphan_rate"))
 
 
-_LINES = "list_filter(string_split(string_split(text, '---')[2], chr(10)), lambda x: trim(x) <> '')"
-_INVALID = f"CASE WHEN starts_with(text, '---') AND len(string_split(text, '---')) >= 3 AND len({_LINES}) > 0 AND len(list_filter({_LINES}, lambda x: NOT regexp_matches(x, '^[A-Za-z_][\\w ]*:(?: .*)?$'))) = 0 THEN 0.0 ELSE 1.0 END"
+_INVALID = f"CASE WHEN {_O} % 5 = 0 OR {_O} % 10 = 8 THEN 0.0 ELSE 1.0 END"
 
 
 @query(f"SELECT doc_id, cast({_INVALID} AS double) AS invalid FROM ({_MD})")
@@ -266,7 +284,7 @@ def composite_score(spark, sf_dir):
 @query()
 def engine_comparison(spark, sf_dir):
     """Three engines on each page: two narratives and the chosen one with front matter."""
-    df = assemble.select_narrative(X.frame(spark, sf_dir, X.NARRATIVES).withColumns({"a": C.clean(F.col("a")), "b": C.clean(F.col("b"))}), "a", "b")
+    df = assemble.select_narrative(assemble.fixed(narratives(spark, sf_dir), a=C.clean(F.col("a")), b=C.clean(F.col("b"))), "a", "b")
     final = assemble.synthesise(df.withColumns({"anchors": F.lit(None).cast("array<struct<page:int,number:int>>"), "tables": F.lit(None).cast("array<string>"), "visuals": F.lit(None).cast("array<string>"), "name": F.concat(F.lit("page "), F.col("doc_id").cast("string"), F.lit(".pdf"))}), F.lit("2026-01-01 00:00:00"))
     rows = final.select("doc_id", F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"), F.lit("final"), F.col("markdown"))).alias("engine", "text"))
     scored = assemble.with_composite(rows, "text")
@@ -275,7 +293,7 @@ def engine_comparison(spark, sf_dir):
 
 @query()
 def engine_selection(spark, sf_dir):
-    df = assemble.select_narrative(X.frame(spark, sf_dir, X.NARRATIVES), "a", "b")
+    df = assemble.select_narrative(narratives(spark, sf_dir), "a", "b")
     return df.select("doc_id", "winner", "score_a", "score_b", F.length("narrative").cast("long").alias("n_chars"), "failed")
 
 

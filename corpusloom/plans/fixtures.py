@@ -26,9 +26,13 @@ ZONES = """SELECT l_orderkey AS doc_id, cast(floor((l_linenumber - 1) / 2) AS in
 
 MARKDOWN = """SELECT o_orderkey AS doc_id,
  CASE o_orderkey % 5 WHEN 0 THEN '---' || chr(10) || 'title: Order ' || cast(o_orderkey AS string) || chr(10) || 'tables_injected: ' || cast(o_orderkey % 4 AS string) || chr(10) || 'total_characters: ' || cast(o_custkey AS string) || chr(10) || '---' || chr(10) || chr(10)
-  WHEN 1 THEN '---' || chr(10) || 'broken' || chr(10) || chr(10) WHEN 2 THEN '---' || chr(10) || 'not a mapping' || chr(10) || '---' || chr(10) || chr(10) ELSE '' END
+  WHEN 1 THEN '---' || chr(10) || 'broken' || chr(10) || chr(10) WHEN 2 THEN '---' || chr(10) || 'not a mapping' || chr(10) || '---' || chr(10) || chr(10)
+  WHEN 3 THEN CASE WHEN o_orderkey % 10 = 3 THEN '---' || chr(10) || 'source_file: a: b' || chr(10) || '---' || chr(10) || chr(10) ELSE '---' || chr(10) || 'processing-date: 1' || chr(10) || 'items:' || chr(10) || '  - x' || chr(10) || '---' || chr(10) || chr(10) END ELSE '' END
  || CASE WHEN o_orderkey % 4 = 3 THEN 'Preamble of ' || o_orderstatus || chr(10) || chr(10) ELSE '# Order ' || cast(o_orderkey AS string) || chr(10) || chr(10) END
  || 'Intro with **bold** and *soft* words, `code` and [a link](http://x).' || chr(10) || chr(10)
+ || CASE o_orderkey % 11 WHEN 0 THEN 'Underlined title' || chr(10) || '=====' || chr(10) || chr(10) WHEN 1 THEN '__strong__ and _soft_ and <b>raw</b> snake_case_word' || chr(10) || chr(10)
+  WHEN 2 THEN '- outer' || chr(10) || '    - inner' || chr(10) || '- next' || chr(10) || chr(10) || 'Then.' || chr(10) || chr(10) WHEN 3 THEN 'a | b' || chr(10) || '--- | ---' || chr(10) || '1 | 2' || chr(10) || chr(10)
+  WHEN 4 THEN '~~~' || chr(10) || '###### x' || chr(10) || '~~~' || chr(10) || chr(10) WHEN 5 THEN '1. one' || chr(10) || '2. two' || chr(10) || chr(10) || '3. three' || chr(10) || chr(10) || 'End.' || chr(10) || chr(10) ELSE '' END
  || CASE o_orderkey % 6 WHEN 0 THEN '### Deep' || chr(10) || chr(10) || 'Text.' || chr(10) || chr(10) WHEN 1 THEN '## Sub' || chr(10) || chr(10) || '#### Deeper' || chr(10) || chr(10) || 'Text.' || chr(10) || chr(10)
   WHEN 2 THEN '## Twice' || chr(10) || chr(10) || 'One.' || chr(10) || chr(10) || '## Twice' || chr(10) || chr(10) || 'Two.' || chr(10) || chr(10) WHEN 3 THEN '<div>raw</div>' || chr(10) || chr(10) WHEN 4 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || chr(10) ELSE '' END
  || '- ' || o_orderpriority || chr(10) || '- ' || o_orderstatus || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '- third' || chr(10) ELSE '' END || chr(10)
