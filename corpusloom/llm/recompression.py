@@ -8,7 +8,7 @@ have the same interior symbols everywhere, and a symbol that one text alone has
 
 With each symbol goes the range of words its naming looked at.  A window of 50 words with a nameless symbol's range in it stands
 nowhere else and is given up at once; what no window needs any more is merged into blocks without a name, so after a few
-rounds little but repeated passages is left.  A window is filed under one of its interior symbols of the highest level reached.  In the end the
+rounds little but repeated passages is left.  A window is filed under one of its interior symbols of the last two levels, or its first word.  In the end the
 windows filed under one symbol meet, each chunk's equal stretches folded to their smallest document, and are verified on the names of their words:
 ranks of pairs of ranks of 1, 2, 4, ... names give equal windows, and nothing else, equal ranks.
 
@@ -252,9 +252,9 @@ class State:
         out[out] = upto[low[out] + 1] > upto[np.maximum(high[out] - self.window, 0)]
         return out
 
-    def settle(self, symbols: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, last: bool = False) -> State:
+    def settle(self, symbols: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, lost: np.ndarray, left_rounds: int) -> State:
         """`lost` symbols have got no name: windows around their ranges go, then symbols that no window needs.  In the last round a window is
-        filed under the least of its interior symbols by a hash, which many windows in a row share; before, under the leftmost."""
+        filed under the least of its interior symbols by a hash, which many windows in a row share, in the one before under the leftmost."""
         lost = lost & (high - low <= self.window) & (low >= 0)
         step = np.bincount(np.maximum(high[lost] - self.window, 0), minlength=self.size + 1) - np.bincount(low[lost] + 1, minlength=self.size + 1)
         left = np.cumsum(step)[self.starts] == 0
@@ -268,10 +268,10 @@ class State:
         alive = self.symbols != 0
         self.back, self.ahead = np.where(alive, first - low[at], 0), np.where(alive, high[at] - first - self.sizes, 0)
         low, high, named_ = low[at][alive], high[at][alive], self.symbols[alive]
-        if len(named_):
+        if len(named_) and left_rounds <= 1:
             i, stop = np.searchsorted(low, self.starts), np.searchsorted(high, self.starts + self.window, "right")  # those whose range begins and ends in the window
             inside = i < stop
-            anchor = least_of(mix(named_.view(U64)), i[inside], stop[inside]).view(np.int64) if last else named_[i[inside]]
+            anchor = least_of(mix(named_.view(U64)), i[inside], stop[inside]).view(np.int64) if left_rounds == 0 else named_[i[inside]]
             self.anchors = self.anchors.copy()
             self.anchors[inside] = anchor
         self.words = np.where(self.needed(), self.words, 0)
@@ -343,7 +343,7 @@ def names_of(answered: pa.Table) -> np.ndarray:
     return np.concatenate([values(r["names"]) for r in got]) if got else np.zeros(0, np.int64)
 
 
-def take_words(window: int, last: bool):
+def take_words(window: int, left_rounds: int):
     """A chunk's first state: its words with their names."""
 
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
@@ -360,12 +360,12 @@ def take_words(window: int, last: bool):
         starts = ranges(gaps + 1, n - window + 1)
         none = np.zeros(0, np.int64)
         state = State(window, docs=values(row["docs"]), prints=values(row["prints"]), n=n, starts=starts, anchors=np.zeros(len(starts), np.int64), words=words_, symbols=none, sizes=none, back=none, ahead=none)
-        return state.settle(words_, np.ones(size, np.int64), first, first + 1, lost, last).row(row["chunk"])
+        return state.settle(words_, np.ones(size, np.int64), first, first + 1, lost, left_rounds).row(row["chunk"])
 
     return run
 
 
-def take_symbols(n_buckets: int, window: int, number: int, last: bool):
+def take_symbols(n_buckets: int, window: int, number: int, left_rounds: int):
     def run(own: pa.Table, answered: pa.Table) -> pa.Table:
         if not own.num_rows:
             return nothing(STATE)
@@ -375,7 +375,7 @@ def take_symbols(n_buckets: int, window: int, number: int, last: bool):
         if new.any():
             _, _, place = by_bucket(defined, n_buckets)
             symbols[new] = names_of(answered)[place]
-        return state.settle(symbols, sizes, low, high, new & (symbols == 0), last).row(row["chunk"])
+        return state.settle(symbols, sizes, low, high, new & (symbols == 0), left_rounds).row(row["chunk"])
 
     return run
 
@@ -387,9 +387,10 @@ def stretches(state: State, n_buckets: int):
     """Windows in a row under one anchor: (first start, windows, text), then the different stretches by bucket: (bucket, smallest document, windows, names of
     the words), and each one's number among them."""
     gaps, _ = text_of(state.n)
-    text = np.searchsorted(gaps, state.starts, "right") - 1
-    head = np.flatnonzero((np.diff(state.starts, prepend=-9) != 1) | (np.diff(state.anchors, prepend=0) != 0))
-    start, count, text, anchor = state.starts[head], np.diff(head, append=len(state.starts)), text[head], state.anchors[head]
+    anchors = np.where(state.anchors == 0, state.words[state.starts], state.anchors)  # a window without a symbol of these rounds: its first word
+    head = np.flatnonzero((np.diff(state.starts, prepend=-9) != 1) | (np.diff(anchors, prepend=0) != 0))
+    start, count, anchor = state.starts[head], np.diff(head, append=len(state.starts)), anchors[head]
+    text = np.searchsorted(gaps, start, "right") - 1
     seen: dict[tuple, list] = {}
     number = np.empty(len(start), np.int64)
     for k, (s, c, a, d) in enumerate(zip(start.tolist(), count.tolist(), anchor.tolist(), state.docs[text].tolist())):
@@ -519,11 +520,11 @@ def repeated_spans(documents: DataFrame, window: int, rounds: int, chunk_bytes:
     by = lambda df, name: df.groupBy(name)
     old = Written(keyed(documents).where("doc_id is not null").mapInArrow(chunks_of(chunk_bytes, window, n), CHUNKS))
     replies = by(old.frame.mapInArrow(request_words(n), REQUEST), "bucket").applyInArrow(named(n, 0), REPLY)
-    state = Written(by(old.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_words(window, rounds == 0), STATE))
+    state = Written(by(old.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_words(window, rounds), STATE))
     old.remove()
     for k in range(1, rounds + 1):
         replies = by(state.frame.mapInArrow(request_symbols(n, window, k), REQUEST), "bucket").applyInArrow(named(n, k), REPLY)
-        old, state = state, Written(by(state.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_symbols(n, window, k, k == rounds), STATE))
+        old, state = state, Written(by(state.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_symbols(n, window, k, rounds - k), STATE))
         old.remove()
     least = by(state.frame.mapInArrow(send_stretches(n, window), STRINGS), "bucket").applyInArrow(verified(window), LEAST)
     spans = cut(by(state.frame, "chunk").cogroup(by(least, "chunk")).applyInArrow(marked(n, window), SPANS))
