@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,22 +19,29 @@ def rouge_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda x: x != "")
 
 
+def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    known = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+    return np.array([known[t] for t in a], np.int64), np.array([known[t] for t in b], np.int64)
+
+
 def _distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        previous, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            previous, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, previous + (x != y))
-    return row[-1]
+    """Edit distance, a row of the table at a time: the insertions along a row are a running minimum."""
+    x, y = _codes(a, b)
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, c in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != c))
+        row = np.minimum.accumulate(np.append(i, best) - place) + place
+    return int(row[-1])
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        previous = 0
-        for j, y in enumerate(b, 1):
-            previous, row[j] = row[j], previous + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time."""
+    x, y = _codes(a, b)
+    row = np.zeros(len(y) + 1, np.int64)
+    for c in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (y == c)))
+    return int(row[-1])
 
 
 def _wer(reference: pd.Series, candidate: pd.Series) -> pd.Series:
@@ -64,7 +72,23 @@ def rouge_1(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataF
     return sizes.join(common, key, "left").select(key, F.when(F.col("common") > 0, 2.0 * F.col("common") / F.col("sizes")).otherwise(0.0).alias("rouge_1"))
 
 
+def evaluate_all(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
+    """(key, WER, ROUGE_L, ROUGE_1), on texts without Markdown marks."""
+    plain = pairs.select(key, normal(F.col(reference)).alias("_r"), normal(F.col(candidate)).alias("_c"))
+    one = rouge_1(plain, key, "_r", "_c").withColumnRenamed("rouge_1", "ROUGE_1")
+    return plain.select(key, wer(F.col("_r"), F.col("_c")).alias("WER"), rouge_l(F.col("_r"), F.col("_c")).alias("ROUGE_L")).join(one, key)
+
+
+#: Questions that are sent to every task at most.
+MOST_QUESTIONS = 100_000
+
+
 def qa_contexts(qa: DataFrame, documents: DataFrame) -> DataFrame:
-    """Judge inputs: each question of a document (doc_id, question, ground_truth) with the whole document as its one context; the truth stands for the answer."""
-    shaped = documents.select("doc_id", F.array("text").alias("contexts"))
-    return qa.join(shaped, "doc_id").withColumn("answer", F.col("ground_truth"))
+    """Judge inputs: each question (question, ground_truth) on each document, with the whole document as its one context; the truth stands for the answer.
+
+    A question list is short by nature: it is a column of each document, exploded, and refused beyond MOST_QUESTIONS."""
+    found = qa.select("question", "ground_truth").limit(MOST_QUESTIONS + 1).collect()
+    if len(found) > MOST_QUESTIONS:
+        raise ValueError(f"more than {MOST_QUESTIONS} questions")
+    every = F.array(*(F.struct(F.lit(r[0]).alias("question"), F.lit(r[1]).alias("ground_truth")) for r in found)) if found else F.array().cast("array<struct<question:string,ground_truth:string>>")
+    return documents.select("doc_id", F.array("text").alias("contexts"), F.explode(every).alias("_q")).select("doc_id", "contexts", "_q.question", "_q.ground_truth", F.col("_q.ground_truth").alias("answer"))

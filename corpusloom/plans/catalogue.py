@@ -11,7 +11,7 @@ from corpusloom.functions import clean as C
 from corpusloom.functions import frontmatter as Y
 from corpusloom.functions import markdown as M
 from corpusloom.functions import tables as T
-from corpusloom.operators import assemble, manifest, refmetrics
+from corpusloom.operators import assemble, manifest, refmetrics, runner
 from corpusloom.plans import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,12 +341,12 @@ def rouge_l_pairs(spark, sf_dir):
     return X.frame(spark, sf_dir, X.PAIRS).select("item_id", F.round(refmetrics.rouge_l(F.col("reference"), F.col("candidate")), 6).alias("rouge_l"))
 
 
-@query("SELECT d.doc_id, md5(d.text) AS context_md5, 'Q' || b.item_id AS question, b.text AS answer FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+@query("SELECT d.doc_id, md5(d.text) AS context_md5, 'Q' || b.item_id AS question, md5(b.text) AS answer_md5 FROM benchmark b CROSS JOIN documents d")
 def qa_contexts(spark, sf_dir):
-    """Each benchmark item is a question on the document of its number."""
-    qa = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("question"), F.col("text").alias("ground_truth"))
+    """Each benchmark item is a question on every document."""
+    qa = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Q"), F.col("item_id").cast("string")).alias("question"), F.col("text").alias("ground_truth"))
     out = refmetrics.qa_contexts(qa, table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.md5(F.get("contexts", 0)).alias("context_md5"), "question", "answer")
+    return out.select("doc_id", F.md5(F.get("contexts", 0)).alias("context_md5"), "question", F.md5("answer").alias("answer_md5"))
 
 
 @query(f"SELECT quality, count(*) AS n, round(avg({_PENALTY}), 4) AS mean_penalty FROM documents JOIN labels USING (doc_id) GROUP BY quality")
@@ -359,3 +359,87 @@ def score_by_quality_label(spark, sf_dir):
 def corpus_summary(spark, sf_dir):
     sized = table(spark, sf_dir, "documents").select((F.octet_length("text") <= 8192).alias("success"))
     return assemble.run_summary(sized)
+
+
+# --- the whole run -------------------------------------------------------------------------------------------
+
+
+def recipe_readers() -> runner.Readers:
+    """Readers of files that hold nothing but a number; what they find follows from it."""
+
+    def number(content):
+        return int(content)
+
+    def semantic(path, content):
+        n = number(content)
+        if n % 13 == 0:
+            raise KeyError("unreadable")
+        if n % 11 == 0:
+            raise ValueError("no layout")
+        return [{"page_number": 1, "category": "NarrativeText"}] + [{"page_number": 1, "category": "Table"}] * (n % 2) + [{"page_number": 2, "category": "Image"}] * (n % 5 == 0)
+
+    def geometric(path, content):
+        n = number(content)
+        found = [{"page_number": p, "category": None} for p in (1, 2)]
+        return found + [{"page_number": 2, "category": "Table"}] * (n % 7 == 0) + [{"page_number": 1, "category": "Image"}] * (n % 9 == 0)
+
+    def second(path, content):
+        n = number(content)
+        return f"# B {n}\n\n- xx\n- yy" if n % 4 == 0 else f"plain {n}"
+
+    def tables(path, content):
+        n = number(content)
+        return [{"page": 2 - k, "cells": [["kk", "vv"], [str(n), None], ["", " "]]} for k in range(n % 3)]
+
+    return runner.Readers(
+        geometric=geometric,
+        semantic=semantic,
+        narrative_a=lambda path, content: f"# Report {number(content)}\n\nBody of report.",
+        narrative_b=second,
+        tables=tables,
+        deep=lambda path, content, model: model if number(content) % 10 == 0 else " ",
+        load_model=lambda: "Deep view.",
+        ocr=lambda path, content, pages: [f"Ocr of {p}." for p in pages],
+    )
+
+
+_BREAK = "chr(10) || chr(10)"
+_ONE_TABLE = "'| kk | vv |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |'"
+_SLOT = f"{_BREAK} || {{0}} || chr(10)"
+_INJECT = f"CASE WHEN m >= {{0}} THEN {_BREAK} || '### [Tabela Detectada]' || {_BREAK} || {_ONE_TABLE} || {_BREAK} ELSE '' END"
+_RUN = f"""WITH f AS (SELECT doc_id, doc_id % 13 = 0 AS err, doc_id % 11 <> 0 AND doc_id % 2 = 1 AS t1, doc_id % 11 <> 0 AND doc_id % 7 = 0 AS t2, doc_id % 3 AS m,
+  list_concat(CASE WHEN doc_id % 9 = 0 THEN [1] ELSE [] END, CASE WHEN doc_id % 11 <> 0 AND doc_id % 5 = 0 THEN [2] ELSE [] END) AS images FROM documents),
+ g AS (SELECT *, least(m, t1::int + t2::int) AS k, CASE WHEN len(images) = 0 THEN [] WHEN doc_id % 10 = 0 THEN ['Deep view.'] ELSE list_transform(images, lambda p: 'Ocr of ' || p || '.') END AS v FROM f),
+ h AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '# B ' || doc_id || {_BREAK} || '- xx' || chr(10) || '- yy' ELSE '# Report ' || doc_id || {_BREAK} || 'Body of report.' END
+  || CASE WHEN t1 THEN {_SLOT.format(_INJECT.format(1))} ELSE '' END || CASE WHEN t2 THEN {_SLOT.format(_INJECT.format("(1 + t1::int)"))} ELSE '' END
+  || CASE WHEN len(v) > 0 THEN {_BREAK} || '---' || chr(10) || '## 🔍 Elementos Gráficos Reconstruídos' || {_BREAK} || array_to_string(list_transform(v, lambda x: x || {_BREAK}), '') ELSE '' END AS raw FROM g),
+ i AS (SELECT *, regexp_replace({{cleaned}}, '^\\s+|\\s+$', '', 'g') AS body, CASE WHEN doc_id % 4 = 0 THEN 35.0 ELSE 6.0 END + 5.0 * (1 - pow(0.5, k)) / 0.5 + k * 175.0
+  + CASE WHEN len(v) > 0 THEN 6.0 + CASE WHEN doc_id % 4 = 0 THEN 2 * (1 - pow(0.5, len(v))) ELSE 2 * (1 - pow(0.5, len(v) + 1)) - 1.0 END ELSE 0.0 END AS bonus FROM h),
+ j AS (SELECT *, round(100 * (1 - exp(-bonus / 150.0)), 2) AS s FROM i)"""
+_CLEAN_STEPS = [step for q in ("clean_html_residue", "clean_hyphen_join", "clean_line_join", "clean_spaces_newlines", "clean_punctuation") for step in CLEANING[q][1]]
+_FINISHED = f"""'---' || chr(10) || 'title: doc-' || doc_id || chr(10) || 'extraction_engine: {Y.ENGINE}' || chr(10) || 'source_file: doc-' || doc_id || chr(10) || 'processing_date: {_STAMP}' || chr(10) || 'total_characters: ' || length(body)
+ || chr(10) || 'tables_injected: ' || m || chr(10) || 'visual_blocks: ' || len(v) || chr(10) || 'mdeval_score: ' || s || chr(10) || '---' || {_BREAK} || body"""
+
+
+@query(
+    _RUN.replace("{cleaned}", replaced("raw", _CLEAN_STEPS))
+    + f""" SELECT doc_id, NOT err AS success, CASE WHEN err THEN 0.0::double ELSE s END AS score, md5(CASE WHEN err THEN '' ELSE {_FINISHED} END) AS markdown_md5,
+ CASE WHEN NOT err THEN CASE WHEN doc_id % 4 = 0 THEN 'b (Saúde Superior: 20.81%)' ELSE 'a (Saúde Superior: 3.92%)' END END AS narrative_winner,
+ CASE WHEN NOT err THEN CASE WHEN m = 0 THEN 'nenhum (sem tabelas detectadas)' ELSE 'tables (' || m || ' tabelas)' END END AS data_winner,
+ CASE WHEN NOT err THEN CASE WHEN len(v) = 0 THEN 'Skipped (Sem Blocos Visuais)' WHEN doc_id % 10 = 0 THEN 'deep (deep learning)' ELSE 'ocr (fallback)' END END AS vision_winner,
+ CASE WHEN NOT err THEN 2::bigint END AS total_pages, CASE WHEN NOT err THEN m::bigint END AS tables_injected, CASE WHEN NOT err THEN len(v)::bigint END AS visual_blocks FROM j"""
+)
+def convert_documents(spark, sf_dir):
+    """A file for each document through the whole run, by readers that follow a recipe."""
+    docs = table(spark, sf_dir, "documents")
+    files = assemble.spread(docs.select(F.concat(F.lit("/in/doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("content")))
+    out = runner.convert(files, recipe_readers(), F.lit(_STAMP))
+    s = lambda k: F.try_element_at(F.col("stats"), F.lit(k))
+    return out.select(
+        F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("doc_id"),
+        "success",
+        "score",
+        F.md5("markdown").alias("markdown_md5"),
+        *(s(k).alias(k) for k in ("narrative_winner", "data_winner", "vision_winner")),
+        *(s(k).cast("bigint").alias(k) for k in ("total_pages", "tables_injected", "visual_blocks")),
+    )
