@@ -82,12 +82,10 @@ def words(data: np.ndarray, off: np.ndarray, separators: bytes) -> tuple[np.ndar
 
 
 def blocks(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place of the data on as one number, zeros after the end."""
-    out = np.zeros(len(data) + 8, U64)
-    out[: len(data)] = data
-    for k in (1, 2, 4):
-        out[:-k] |= out[k:] << U64(8 * k)
-    return out
+    """The eight bytes from each place of the data on as one number, zeros after the end: a view over one copy of the bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:

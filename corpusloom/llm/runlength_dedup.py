@@ -1,6 +1,6 @@
 """Byte-level exact substring dedup with run-length indexes.
 
-Every window of 50 bytes is filed under its smallest 10-byte gram (by fingerprint, the leftmost of equals), so
+Every window of 50 bytes is filed under its smallest 8-byte gram (by fingerprint, the leftmost of equals), so
 equal windows meet in one bucket wherever they stand.  Windows in a row under one gram travel as one string.  A bucket drops grams
 that one document alone has, folds equal strings to the smallest document that has them (a hot group of copies folds to
 one string), and builds run-length indexes over the different strings of each gram: these are near-repeats, so
@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import MASK, U64, blocks, buffers, covered, expand, mix, pieces, range_hashes, ranges, squeeze
+from .arrays import MASK, U64, blocks, buffers, covered, expand, mix, pieces, planes, range_hashes, ranges, squeeze, values
 from .frames import buckets, cut, small_batches, text_bytes
 from .repeats import SPANS, keyed, rows, without_spans
 from .runindex import smallest_owner
 
 #: Bytes in a window, and in the gram that files it.
-WINDOW, GRAM = 50, 10
+WINDOW, GRAM = 50, 8
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -56,7 +56,7 @@ def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int):
 
 #: Bytes of text for each bucket, to raise with larger executors.
 BUCKET_BYTES = 2_000_000
-PACKED = ("docs", "prints", "starts", "counts", "befores", "anchors", "body")
+PACKED = ("docs", "prints", "starts", "counts", "befores", "body")
 RUNS = "bucket int, " + ", ".join(f"{x} binary" for x in PACKED)
 
 
@@ -80,15 +80,10 @@ def emitter(window: int, gram: int):
                     body = part[ranges(start, count + window - 1)]
                     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
                     last, upto = np.append(edge[1:], len(bucket)), np.append(0, np.cumsum(count + window - 1))
-                    docs, print_, start = ids[a:b][text].astype(np.int64), prints[a:b][text].astype(np.int64), (start - base[text]).astype(np.int32)
+                    docs, print_, start = ids[a:b][text], prints[a:b][text], start - base[text]
                     yield rows(schema, [
                         bucket[edge],
-                        [squeeze(docs[i:j]) for i, j in zip(edge, last)],
-                        [squeeze(print_[i:j]) for i, j in zip(edge, last)],
-                        [squeeze(start[i:j]) for i, j in zip(edge, last)],
-                        [squeeze(count[i:j].astype(np.int32)) for i, j in zip(edge, last)],
-                        [squeeze(before[i:j].astype(np.int32)) for i, j in zip(edge, last)],
-                        [anchor[i:j].tobytes() for i, j in zip(edge, last)],
+                        *([planes(x[i:j]) for i, j in zip(edge, last)] for x in (docs, print_, start, count, before)),
                         [squeeze(body[upto[i] : upto[j]]) for i, j in zip(edge, last)],
                     ])
 
@@ -150,11 +145,10 @@ def folded(body, blocked, at, length, anchor, docs):
 
 def judge_with(window: int, gram: int):
     def judge(group: pa.Table) -> pa.Table:
-        def column(name, dtype, packed=True):
-            return np.concatenate([expand(x, dtype) if packed else np.frombuffer(x, dtype) for x in group[name].to_pylist()])
-
-        docs, rows_, start, count = column("docs", np.int64), column("prints", np.int64), column("starts", np.int32).astype(np.int64), column("counts", np.int32).astype(np.int64)
-        anchor, before, body = column("anchors", U64, False), column("befores", np.int32).astype(np.int64), column("body", np.uint8)
+        docs, rows_, start, count, before = (np.concatenate([values(x) for x in group[c].to_pylist()]) for c in PACKED[:-1])
+        body = np.concatenate([expand(x, np.uint8) for x in group["body"].to_pylist()])
+        gram_at = np.cumsum(count + window - 1) - (count + window - 1) + before
+        anchor = mix(gram_hashes(body, gram)[gram_at]) if len(gram_at) else np.zeros(0, U64)
         length = count + window - 1
         at = np.cumsum(length) - length
         keep = np.flatnonzero(in_two(anchor, docs))
