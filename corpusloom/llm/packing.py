@@ -10,12 +10,13 @@ Nothing is shuffled; a sequence id is (partition, running number).
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import buffers, pieces, ranges, word_kinds
+from .arrays import buffers, pieces, ranges, same, word_kinds
 from .frames import small_batches
 
 WINDOW, END_ID = 2048, 1
@@ -93,8 +94,31 @@ class Words:
         return ["", " ", " a", "a ", *("".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(1, 40, 300))]
 
     def clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.begin, self.used = np.zeros(1 << 20, np.uint32), [0], 0
+        """Forgets the parts: their fingerprints in order, the number of each, its bytes, and its ids."""
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.ends_of = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbered(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each part, known by its bytes; new ones are encoded."""
+        out, found = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = self.numbers[at]
+            found = (self.hashes[at] == hashes) & same(data, starts, ends, self.bytes, self.ends_of[out], self.ends_of[out + 1])
+        new = np.flatnonzero(~found)
+        if len(new):
+            s, e = starts[new], ends[new]
+            raw = data.tobytes()
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([raw[i:j].decode() for i, j in zip(s.tolist(), e.tolist())], add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            out[new] = np.arange(len(new)) + len(self.begin) - 1
+            self.bytes, self.ends_of = np.concatenate([self.bytes, data[ranges(s, e - s)]]), np.concatenate([self.ends_of, self.ends_of[-1] + np.cumsum(e - s)])
+            self.flat, self.begin = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+            every, numbers = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.numbers, out[new]])
+            order = np.argsort(every)
+            self.hashes, self.numbers = every[order], numbers[order]
+        return out
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
@@ -106,22 +130,11 @@ class Words:
         starts[1:] &= ~inside[:-1] | cut
         ends[:-1] &= ~inside[1:] | cut
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        raw = data.tobytes()
-        _, sample, which = word_kinds(data, starts, ends)
-        if len(self.known) > self.most:
+        if len(self.hashes) > self.most:
             self.clear()
-        keys = [raw[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]
-        new = [k for k in keys if k not in self.known]
-        for k, e in zip(new, self.tokenizer.encode_batch_fast([k.decode() for k in new], add_special_tokens=False) if new else ()):
-            got = e.ids
-            if self.used + len(got) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(got)), np.uint32)])
-            self.flat[self.used : self.used + len(got)] = got
-            self.used += len(got)
-            self.known[k] = len(self.begin) - 1
-            self.begin.append(self.used)
-        row = np.array([self.known[k] for k in keys], np.int64)[which] if keys else np.zeros(0, np.int64)
-        begin = np.array(self.begin, np.int64)
+        hashes, sample, which = word_kinds(data, starts, ends)
+        row = self.numbered(data, hashes, starts[sample], ends[sample])[which] if len(starts) else np.zeros(0, np.int64)
+        begin = self.begin
         size = begin[row + 1] - begin[row] if len(row) else row
         flat = self.flat[ranges(begin[row], size)] if len(row) else np.zeros(0, np.uint32)
         total = np.append(0, np.cumsum(size))
