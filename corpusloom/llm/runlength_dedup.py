@@ -25,13 +25,12 @@ from .runindex import smallest_owner
 WINDOW, GRAM = 50, 8
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Fingerprint of each `gram` consecutive bytes."""
-    n, at = len(data) - gram + 1, blocks(data)
-    out = mix(at[:n] & MASK[min(gram, 8)])
+def gram_hashes(blocked: np.ndarray, places: np.ndarray | slice, gram: int) -> np.ndarray:
+    """Fingerprints of the `gram` bytes from each place on, given the blocks of the bytes."""
+    out = mix(blocked[places] & MASK[min(gram, 8)])
     for k in range(8, gram, 8):
         k = min(k, gram - 8)
-        out = mix(out ^ mix(at[k : k + n] + U64(k)))
+        out = mix(out ^ mix(blocked[k:][places] + U64(k)))
     return out
 
 
@@ -42,7 +41,7 @@ def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int):
     if not len(start):
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, U64)
-    grams = gram_hashes(data, gram)
+    grams = gram_hashes(blocks(data), slice(0, len(data) - gram + 1), gram)
     least = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
     width, have = window - gram + 1, 1
     while have < width:
@@ -148,7 +147,7 @@ def judge_with(window: int, gram: int):
         docs, rows_, start, count, before = (np.concatenate([values(x) for x in group[c].to_pylist()]) for c in PACKED[:-1])
         body = np.concatenate([expand(x, np.uint8) for x in group["body"].to_pylist()])
         gram_at = np.cumsum(count + window - 1) - (count + window - 1) + before
-        anchor = mix(gram_hashes(body, gram)[gram_at]) if len(gram_at) else np.zeros(0, U64)
+        anchor = mix(gram_hashes(blocks(body), gram_at, gram))
         length = count + window - 1
         at = np.cumsum(length) - length
         keep = np.flatnonzero(in_two(anchor, docs))
