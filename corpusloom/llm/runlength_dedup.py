@@ -147,16 +147,14 @@ def judge_with(window: int, gram: int):
         docs, rows_, start, count, before = (np.concatenate([values(x) for x in group[c].to_pylist()]) for c in PACKED[:-1])
         body = np.concatenate([expand(x, np.uint8) for x in group["body"].to_pylist()])
         gram_at = np.cumsum(count + window - 1) - (count + window - 1) + before
-        anchor = mix(gram_hashes(blocks(body), gram_at, gram))
+        blocked = blocks(body)
+        anchor = mix(gram_hashes(blocked, gram_at, gram))
         length = count + window - 1
         at = np.cumsum(length) - length
         keep = np.flatnonzero(in_two(anchor, docs))
         docs, rows_, start, count, anchor, before, length, at = (x[keep] for x in (docs, rows_, start, count, anchor, before, length, at))
-        body = body[ranges(at, length)]
-        at = np.cumsum(length) - length
         out = ([], [], [], [])
         if len(keep):
-            blocked = blocks(body)
             keep, skipped, count = trimmed(body, blocked, at, anchor, docs, count, before, window, gram)
             docs, rows_, start, anchor, at, length = docs[keep], rows_[keep], start[keep] + skipped, anchor[keep], at[keep] + skipped, count + window - 1
         if len(keep):
