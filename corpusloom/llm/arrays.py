@@ -133,10 +133,12 @@ word_hashes = range_hashes
 
 def word_kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprints, a place of each different word, each word's number among them), by bytes."""
-    at = blocks(data)
+    at, n = blocks(data), ends - starts
     hashes = range_hashes(data, starts, ends, at)
     sample, which = kinds(hashes)
-    if not same(data, starts, ends, data, starts[sample[which]], ends[sample[which]], at).all():  # two words under one fingerprint
+    first = sample[which]
+    long = np.flatnonzero(n > 8)  # up to eight bytes a fingerprint stands for one word of its length
+    if not (np.array_equal(n, n[first]) and same(data, starts[long], ends[long], data, starts[first[long]], ends[first[long]], at).all()):  # two words under one fingerprint
         seen: dict[bytes, int] = {}
         which = np.array([seen.setdefault(data[s:e].tobytes(), len(seen)) for s, e in zip(starts.tolist(), ends.tolist())])
         sample = np.unique(which, return_index=True)[1]

@@ -109,8 +109,14 @@ class Words:
         new = np.flatnonzero(~found)
         if len(new):
             s, e = starts[new], ends[new]
-            raw = data.tobytes()
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([raw[i:j].decode() for i, j in zip(s.tolist(), e.tolist())], add_special_tokens=False)]
+            if self.inside[10]:
+                raw = data.tobytes()
+                texts = [raw[i:j].decode() for i, j in zip(s.tolist(), e.tolist())]
+            else:  # no part holds a line end
+                lines = np.full(int((e - s + 1).sum()), 10, np.uint8)
+                lines[ranges(np.cumsum(e - s + 1) - (e - s + 1), e - s)] = data[ranges(s, e - s)]
+                texts = lines.tobytes().decode().split("\n")[:-1]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
             out[new] = np.arange(len(new)) + len(self.begin) - 1
             self.bytes, self.ends_of = np.concatenate([self.bytes, data[ranges(s, e - s)]]), np.concatenate([self.ends_of, self.ends_of[-1] + np.cumsum(e - s)])
