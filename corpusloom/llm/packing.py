@@ -55,13 +55,15 @@ class SumOfSquares:
 
 
 MARKS = ".,!?;:*#$%&"
+#: What stands between parts that are encoded together, and how many are.
+SEPARATOR, GROUP = "\u00b6", 128
 
 
 class Words:
     """Ids of texts by a tokenizer, each different part of a text encoded once for many.
 
-    Parts end at white space and between an ASCII letter and a mark, if the tokenizer gives `probes` the same ids whole and in parts; else at
-    white space only, if that holds; else texts are encoded whole."""
+    Parts end at white space and between an ASCII letter and a mark, and are encoded in groups, if the tokenizer gives `probes` the same ids whole and in
+    parts; else one by one, if that holds; else they end at white space only; else texts are encoded whole."""
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
@@ -69,7 +71,9 @@ class Words:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.inside, self.letter, self.mark = (np.zeros(256, bool) for _ in range(3))
         self.letter[[*range(65, 91), *range(97, 123)]] = True
-        for marks, white in ((MARKS, b" \t\n\r\x0b\x0c"), ("", b" \t\n\r\x0b\x0c"), ("", b"")):
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        blank = b" \t\n\r\x0b\x0c"
+        for marks, white, self.grouped in ((MARKS, blank, bool(self.separator)), (MARKS, blank, False), ("", blank, False), ("", b"", False)):
             self.clear()
             self.mark[:] = False
             self.mark[list(marks.encode())] = True
@@ -99,6 +103,30 @@ class Words:
         self.bytes, self.ends_of = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many of each).  Parts go to the tokenizer GROUP at a time around a separator, whose ids tell them apart; a group in which
+        it is not found once between each two is encoded one by one."""
+        if not self.grouped:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        groups = [texts[k : k + GROUP] for k in range(0, len(texts), GROUP)]
+        flat, sizes = [], []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            here = np.ones(max(len(ids) - len(self.separator) + 1, 0), bool)
+            for k, c in enumerate(self.separator):
+                here &= ids[k : k + len(here)] == c
+            at = np.flatnonzero(here)
+            if len(at) != len(group) - 1 or any(SEPARATOR in t for t in group):
+                got = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                ids, size = np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+            else:
+                size = np.diff(np.append(at, len(ids)), prepend=-len(self.separator)) - len(self.separator)
+                ids = np.delete(ids, (at[:, None] + np.arange(len(self.separator))).ravel())
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def numbered(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each part, known by its bytes; new ones are encoded."""
         out, found = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
@@ -116,11 +144,10 @@ class Words:
                 lines = np.full(int((e - s + 1).sum()), 10, np.uint8)
                 lines[ranges(np.cumsum(e - s + 1) - (e - s + 1), e - s)] = data[ranges(s, e - s)]
                 texts = lines.tobytes().decode().split("\n")[:-1]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
+            flat, size = self.encoded(texts)
             out[new] = np.arange(len(new)) + len(self.begin) - 1
             self.bytes, self.ends_of = np.concatenate([self.bytes, data[ranges(s, e - s)]]), np.concatenate([self.ends_of, self.ends_of[-1] + np.cumsum(e - s)])
-            self.flat, self.begin = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+            self.flat, self.begin = np.concatenate([self.flat, flat]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
             every, numbers = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.numbers, out[new]])
             order = np.argsort(every)
             self.hashes, self.numbers = every[order], numbers[order]
