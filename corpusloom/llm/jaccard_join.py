@@ -8,9 +8,12 @@ A text's tokens are its distinct 5-word shingles.  Texts with equal sets fold to
    share a token within both prefixes of n - t + 1 tokens (t: least overlap).  Rare ones there are indexed as single tokens.  Where
    a prefix reaches the frequent class, it is extended by one token and pairs of frequent tokens are indexed, since
    sets that share no rare token share two frequent ones there.
-3. Sets under one index key are chained to its smallest set, not paired with each other; chains that hang together form
-   candidate groups, and within a group exact overlaps decide.  A search from linked sets to those not yet linked verifies every group
-   without a list of all its pairs.
+3. Sets travel to their index keys with a mark, a bitmap of their tokens with as many bits as tokens.  Where the marks of two sets under
+   one key differ in more bits than similar sets have different tokens, they cannot link; the others are joined into a forest, never listed
+   as pairs.  Trees that hang together form candidate groups, close to the true components.
+4. Within a group exact overlaps decide, by a search from linked sets to those not yet linked.  A group over a size is dealt to blocks;
+   the largest classes of some blocks visit all blocks, which joins most of a family, and then every set outside the largest class of its
+   group visits all blocks, which finds each link that is left.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ COMBINED = 100
 TAG_BYTES = 5
 #: Bytes of text for each bucket, to raise with larger executors.
 BUCKET_BYTES = 5_000_000
+#: Bytes of tokens that one task takes of a candidate group, to raise with larger executors.
+GROUP_BYTES = 1_000_000
+#: Blocks of a group whose largest classes visit all its blocks first.
+PIVOTS = 4
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +97,17 @@ def describe(k: int):
 PACKED = "bucket int, sets binary, counts binary, body binary"
 
 
-def pack_tokens(schema, n: int, sets: np.ndarray, token: np.ndarray, upto: np.ndarray, width: int):
-    """Packed rows, one for each bucket of tokens: set ids, their numbers of tokens, the tokens' low bytes in the sets' order."""
+def pack_tokens(schema, n: int, sets: np.ndarray, token: np.ndarray, upto: np.ndarray, width: int, more: tuple = ()):
+    """Packed rows, one for each bucket of tokens: set ids, their numbers of tokens, the tokens' low bytes in the sets' order, and
+    what the functions in `more` give for the places of the sets."""
     bucket = ((token >> U64(40)) % U64(n)).astype(np.int64)
     owner = np.repeat(np.arange(len(sets)), np.diff(upto))
     order = np.argsort(bucket, kind="stable")
     bucket, owner = bucket[order], owner[order]
     body = np.ascontiguousarray(token[order]).view(np.uint8).reshape(-1, 8)[:, :width]
     seg = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-    count, sets = np.diff(seg, append=len(bucket)), sets[owner[seg]]
+    place = owner[seg]
+    count, sets = np.diff(seg, append=len(bucket)), sets[place]
     edge = np.flatnonzero(np.diff(bucket[seg], prepend=-1))
     last, first = np.append(edge[1:], len(seg)), np.append(seg, len(bucket))
     return rows(schema, [
@@ -106,6 +115,7 @@ def pack_tokens(schema, n: int, sets: np.ndarray, token: np.ndarray, upto: np.nd
         [squeeze(sets[i:j].astype(np.int64)) for i, j in zip(edge, last)],
         [squeeze(count[i:j].astype(np.int32)) for i, j in zip(edge, last)],
         [body[first[i] : first[j]].tobytes() for i, j in zip(edge, last)],
+        *([f(place[i:j]) for i, j in zip(edge, last)] for f in more),
     ])
 
 
@@ -232,36 +242,144 @@ def index_keys(n: int, token: np.ndarray, frequent: np.ndarray, percent: int) ->
     return np.unique(np.concatenate(keys))
 
 
+def mark_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words in the mark of a set of n tokens: a power of two, so that marks of similar sets fold to one width."""
+    return np.int64(1) << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+
+
+def mark(token: np.ndarray, n: int) -> np.ndarray:
+    """Bitmap of a set: each token turns one bit over, so two marks differ in at most as many bits as the sets have different tokens."""
+    bits = 64 * int(mark_words(np.array(n)))
+    turned = np.bincount((mix(token ^ U64(0x2545F4914F6CDD1D)) % U64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view(U64)
+
+
+INDEXED = PACKED + ", sizes binary, shared binary, marks binary"
+
+
 def emit_keys(percent: int, buckets_: int):
     def run(batches):
-        schema = pa.schema([("bucket", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("body", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sets", "counts", "body", "sizes", "shared", "marks"))])
         for batch in batches:
-            ids, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            held, size, have = [], [], 0
-            first = 0
+            ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            held, marks, shared, have = [], [], [], 0
             for i, (tokens, frequent) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                keys = index_keys(n[i], np.frombuffer(tokens, U64), np.frombuffer(frequent, bool), percent)
-                held.append(keys)
-                size.append(len(keys))
-                have += len(keys)
+                token = np.frombuffer(tokens, U64)
+                held.append(index_keys(int(n[i]), token, np.frombuffer(frequent, bool), percent))
+                marks.append(mark(token, int(n[i])))
+                shared.append(len(token))
+                have += len(held[-1])
                 if have > 500_000 or i + 1 == batch.num_rows:
                     if have:
-                        yield pack_tokens(schema, buckets_, ids[first : i + 1], np.concatenate(held), np.append(0, np.cumsum(size)), 8)
-                    held, size, have, first = [], [], 0, i + 1
+                        some = slice(i + 1 - len(held), i + 1)
+                        size = [np.asarray(x, np.int64) for x in (n[some], shared)]
+                        more = (
+                            lambda at, x=size[0]: squeeze(x[at]),
+                            lambda at, x=size[1]: squeeze(x[at]),
+                            lambda at, x=marks: np.concatenate([x[k] for k in at]).tobytes(),
+                        )
+                        upto = np.append(0, np.cumsum([len(k) for k in held]))
+                        yield pack_tokens(schema, buckets_, ids[some], np.concatenate(held), upto, 8, more)
+                    held, marks, shared, have = [], [], [], 0
 
     return run
 
 
-def chain(group: pa.Table) -> pa.Table:
-    """Edges from each key's smallest set to its others."""
-    sets, key = unpack(group, 8)
-    order = np.argsort(key)
-    sets, key = sets[order], key[order]
+class Marks:
+    """Marks of several sets; `differ` counts the bits in which pairs of them differ, at the width of the narrower one; none where one
+    mark has over twice the width of the other."""
+
+    def __init__(self, n: np.ndarray, flat: np.ndarray):
+        self.width = mark_words(n)
+        self.own = np.cumsum(self.width) - self.width
+        half = self.width // 2
+        at = ranges(self.own, half)
+        self.folded = len(flat) + np.cumsum(half) - half
+        self.flat = np.concatenate([flat, flat[at] ^ flat[at + np.repeat(half, half)]])
+
+    def differ(self, a: np.ndarray, b: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+        out, width = np.zeros(len(a), np.int64), np.minimum(self.width[a], self.width[b])
+        comparable = np.maximum(self.width[a], self.width[b]) <= 2 * width
+        for w in np.unique(width).tolist():
+            every = np.flatnonzero(comparable & (width == w))
+            for some in np.array_split(every, -(-len(every) * w // most) or 1):
+                x, y = (np.where(self.width[s[some]] == w, self.own[s[some]], self.folded[s[some]])[:, None] + np.arange(w) for s in (a, b))
+                out[some] = np.bitwise_count(self.flat[x] ^ self.flat[y]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels after pairs (a, b) got one label each."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(to, further := to[to]):
+            to = further
+        label = to[label]
+
+
+def different_lists(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, member) for the lists of members under a key that have two at least, each list once."""
+    order = np.lexsort((member, key))
+    member, key = member[order], key[order]
     head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    least = np.repeat(np.minimum.reduceat(sets, head), np.diff(head, append=len(key)))
-    pairs = np.stack([sets, least])[:, sets != least]
-    pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+    size = np.diff(head, append=len(key))
+    head, size = head[size > 1], size[size > 1]
+    if not len(head):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.append(U64(0), np.cumsum(mix(member.astype(U64) + U64(0x632BE59BD9B4E019)), dtype=U64))
+    order = np.lexsort((total[head + size] - total[head], size))
+    head, size = head[order], size[order]
+    alike = np.flatnonzero(size[1:] == size[:-1])
+    if len(alike):  # by their members
+        n = size[alike]
+        equal = np.logical_and.reduceat(member[ranges(head[alike], n)] == member[ranges(head[alike + 1], n)], np.cumsum(n) - n)
+        again = np.ones(len(head), bool)
+        again[alike[equal] + 1] = False
+        head, size = head[again], size[again]
+    return np.repeat(np.arange(len(head)), size), member[ranges(head, size)]
+
+
+def forest(lists: np.ndarray, member: np.ndarray, n: np.ndarray, shared: np.ndarray, marks: Marks, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all members of one list which size and mark let link.  In each round the first member of every list meets the
+    others that do not hang together with it yet, and leaves."""
+    label, found = np.arange(len(n)), []
+    while len(lists):
+        head = np.flatnonzero(np.diff(lists, prepend=-1))
+        which = np.cumsum(np.diff(lists, prepend=-1) != 0) - 1
+        first = member[head][which]
+        apart = label[member] != label[first]
+        a, b = first[apart], member[apart]
+        if len(a):
+            a, b = np.divmod(np.unique(a * len(n) + b), len(n))
+            near = (100 * np.minimum(n[a], n[b])) >= percent * np.maximum(n[a], n[b])
+            a, b = a[near], b[near]
+            most = (shared[a] + shared[b] - marks.differ(a, b)) // 2
+            link = 100 * most >= percent * (n[a] + n[b] - most)
+            a, b = a[link], b[link]
+            label = united(label, a, b)
+            found.append((a, b))
+        low, high = np.minimum.reduceat(label[member], head), np.maximum.reduceat(label[member], head)
+        keep = (low != high)[which]
+        keep[head] = False
+        lists, member = lists[keep], member[keep]
+    return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+
+
+def joined_keys(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        sets, n, shared = (np.concatenate([expand(x, np.int64) for x in group[c].to_pylist()]) for c in ("sets", "sizes", "shared"))
+        counts = np.concatenate([expand(x, np.int32) for x in group["counts"].to_pylist()])
+        key, flat = (np.concatenate([np.frombuffer(x, U64) for x in group[c].to_pylist()]) for c in ("body", "marks"))
+        lists, member = different_lists(key, np.repeat(np.arange(len(sets)), counts))
+        a, b = forest(lists, member, n, shared, Marks(n, flat), percent)
+        return pa.table({"a": pa.array(sets[a], pa.int64()), "b": pa.array(sets[b], pa.int64())})
+
+    return run
 
 
 def linked(reps: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: int) -> np.ndarray:
@@ -309,15 +427,88 @@ def linked(reps: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: i
 
 
 def verify(percent: int):
+    """The class of each set within its block, by the set of its smallest document."""
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["rep"].to_numpy(), kind="stable")
+        tokens = group["tokens"].to_pylist()
+        root = linked(np.arange(len(order)), group["n"].to_numpy()[order], [np.frombuffer(tokens[i], U64) for i in order], percent)
+        sets, reps = (group[c].to_numpy()[order] for c in ("set", "rep"))
+        return pa.table({"set": pa.array(sets, pa.int64()), "root": pa.array(sets[root], pa.int64()), "first": pa.array(reps[root], pa.int64())})
+
+    return run
+
+
+def visited(percent: int):
+    """Edges between classes of visitors and of the sets of a block, wherever two of them link."""
+
     def run(group: pa.Table) -> pa.Table:
-        reps, n = group["rep"].to_numpy(), group["n"].to_numpy()
+        guest, n, root = (group[c].to_numpy() for c in ("guest", "n", "root"))
         tokens = [np.frombuffer(t, U64) for t in group["tokens"].to_pylist()]
-        return pa.table({"set": group["set"], "label": pa.array(linked(reps, n, tokens, percent), pa.int64())})
+        home, out = np.flatnonzero(~guest), set()
+        if len(home) and guest.any():
+            flat = np.concatenate([tokens[i] for i in home])
+            owner = np.repeat(home, [len(tokens[i]) for i in home])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for g in np.flatnonzero(guest).tolist():
+                from_ = np.searchsorted(flat, tokens[g], "left")
+                other, common = np.unique(owner[ranges(from_, np.searchsorted(flat, tokens[g], "right") - from_)], return_counts=True)
+                good = other[(100 * common >= percent * (n[g] + n[other] - common)) & (root[other] != root[g])]
+                out.update((int(root[g]), r) for r in np.unique(root[good]).tolist())
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def renamed(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """The sets with classes that hang together over edges as one class."""
+    same = components(edges)
+    return cut(placed.join(same.select(F.col("node").alias("root"), F.col("label").alias("_to")), "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))
+
+
+def group_labels(by_set: DataFrame, groups: DataFrame, percent: int, group_bytes: int) -> DataFrame:
+    """(set, label): the smallest document that each set of a candidate group hangs together with over exact links.
+
+    A group of more than `group_bytes` bytes of tokens is dealt to blocks by a hash of the set.  Links within a block are found there.
+    Once the classes that pivots join are known, a link not yet known has an end outside the largest class of its group; so it is found
+    when all sets outside visit every block, in chunks."""
+    size = F.length("tokens").cast("long")
+    of_group = by_set.select("set", size.alias("bytes"), "rep").join(groups.select(F.col("node").alias("set"), F.col("label").alias("family")), "set")
+    parts = of_group.groupBy("family").agg(F.ceil(F.sum("bytes") / group_bytes).cast("int").alias("parts"))
+    placed = cut(of_group.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")))
+    tokens = by_set.select("set", "n", "tokens")
+    blocks = tokens.join(placed.select("set", "rep", "family", "part"), "set")
+    found = cut(blocks.groupBy("family", "part").applyInArrow(verify(percent), "`set` long, root long, first long"))
+    split = placed.where("parts > 1")
+    if split.isEmpty():
+        return found.select("set", F.col("first").alias("label"))
+    split = cut(split.join(found.select("set", "root"), "set"))
+
+    def met(split: DataFrame, guests: DataFrame) -> DataFrame:
+        """Edges from guests (set, root, family, parts, chunk, chunks), which visit every block of their family in chunks."""
+        chunks = guests.groupBy("family").agg(F.max("chunks").alias("chunks"))
+        columns = ["family", "part", "chunk", "set", "root", "guest"]
+        home = split.join(chunks, "family").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("guest", F.lit(False))
+        away = guests.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("guest", F.lit(True))
+        both = home.select(columns).unionByName(away.select(columns)).join(tokens, "set")
+        return both.groupBy("family", "part", "chunk").applyInArrow(visited(percent), "a long, b long")
+
+    classes = split.where(F.col("part") < PIVOTS).groupBy("family", "parts", "part", "root").count()
+    pivots = classes.groupBy("family", "parts", "part").agg(F.max_by("root", F.struct("count", "root")).alias("root")).drop("part")
+    pivots = pivots.withColumns({"set": F.col("root"), "chunk": F.lit(0), "chunks": F.lit(1)})
+    split = renamed(split, met(split, pivots))
+    largest = split.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("_root"))
+    outside = split.join(largest, "family").where("root != _root").drop("_root")
+    chunks = outside.groupBy("family").agg(F.ceil(F.sum("bytes") / group_bytes).cast("int").alias("chunks"))
+    outside = outside.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(1)), "chunks").cast("int"))
+    split = renamed(split, met(split, outside))
+    first = split.groupBy("root").agg(F.min("rep").alias("label"))
+    whole = found.join(split.select("set"), "set", "left_anti").select("set", F.col("first").alias("label"))
+    return whole.unionByName(split.join(first, "root").select("set", "label"))
+
+
+def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_print) for each row: component_id is the smallest doc_id reachable over links,
     which join rows whose shingle sets have a Jaccard similarity of `percent` % at least; text_print is xxhash64 of the text.
 
@@ -342,10 +533,9 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     classes = mine.mapInArrow(emit_tokens(shingle, n, 8), PACKED).groupBy("bucket").applyInArrow(classify(n), CLASSED)
     by_set = classes.groupBy("part").applyInArrow(assemble, "`set` long, tokens binary, frequent binary")
     by_set = cut(by_set.join(open_.select(F.col("print").alias("set"), F.col("n_shingles").alias("n"), "rep"), "set").select("set", "n", "tokens", "frequent", "rep"))
-    keys = by_set.mapInArrow(emit_keys(percent, n), PACKED)
-    groups = components(keys.groupBy("bucket").applyInArrow(chain, "a long, b long"))
-    of_group = by_set.select("set", "n", "tokens", "rep").join(groups.withColumnRenamed("node", "set"), "set")
-    found = cut(of_group.groupBy("label").applyInArrow(verify(percent), "`set` long, label long"))
+    keys = by_set.mapInArrow(emit_keys(percent, n), INDEXED)
+    groups = components(keys.groupBy("bucket").applyInArrow(joined_keys(percent), "a long, b long"))
+    found = cut(group_labels(by_set, groups, percent, group_bytes))
     labels = sets.join(found.withColumnRenamed("set", "print"), "print", "left").select("print", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return meta.join(labels, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", component, "text_print")

@@ -335,3 +335,51 @@ def test_main_text_of_the_pages(spark):
         inner = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         expected = " ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", " ", inner.replace("<b>", ""))).split())
         assert (r.text, r.n_chars) == (expected, len(expected))
+
+
+def family(k: int, copies: int, rng: np.random.Generator) -> list[str]:
+    """Near copies of a text of 150 words, each with two words of its own, so that copies differ from each other as well."""
+    base = [f"w{k}x{i}" for i in range(150)]
+    out = []
+    for c in range(copies):
+        text = list(base)
+        for at in rng.integers(0, 150, 2).tolist():
+            text[at] = f"own{k}y{c}z{at}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [3_000, 20_000])
+def test_split_groups_lose_no_link(spark, group_bytes):
+    """Families, chains between them, and strangers that share passages, in groups dealt to many blocks."""
+    rng = np.random.default_rng(5)
+    texts = [t for k in range(3) for t in family(k, 40, rng)]
+    words = texts[0].split()
+    for step in range(1, 12):  # a chain of neighbours that leads away from the first family
+        texts.append(" ".join(words[6 * step :] + [f"c{i}" for i in range(6 * step)]))
+    shared = " ".join(f"s{i}" for i in range(90))
+    texts += [shared + " " + " ".join(f"q{k // 2}u{i}" for i in range(60)) for k in range(40)]
+    rows_ = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = rows(jaccard_join.jaccard_components(docs, group_bytes=group_bytes), "n_shingles", "component_id")
+    assert got == brute.op8(dict(rows_))
+    assert len({c for _, c in got.values()}) > 4
+
+
+def test_forest_joins_what_may_link():
+    rng = np.random.default_rng(3)
+    for n in (70, 130, 400):  # marks of one, two, four and more words
+        base = rng.integers(0, 2**63, n).astype(U64)
+        sets = [np.unique(np.concatenate([base[: n - cut_], rng.integers(0, 2**63, cut_).astype(U64)])) for cut_ in (0, n // 20, n // 3, n // 2)]
+        sets += [base[: n - n // 10], rng.integers(0, 2**63, n).astype(U64)]
+        size = np.array([len(s) for s in sets])
+        marks = jaccard_join.Marks(size, np.concatenate([jaccard_join.mark(s, len(s)) for s in sets]))
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                apart = len(np.setxor1d(sets[a], sets[b]))
+                near = 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])
+                assert not near or marks.differ(np.array([a]), np.array([b]))[0] <= apart
+        every = np.arange(len(sets))
+        a, b = jaccard_join.forest(np.zeros(len(sets), np.int64), every, size, size, marks, 80)
+        label = jaccard_join.united(every, a, b)
+        assert label[0] == label[1] == label[4] and len({label[0], label[3], label[5]}) == 3
