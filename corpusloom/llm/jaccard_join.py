@@ -477,13 +477,13 @@ def group_labels(by_set: DataFrame, groups: DataFrame, percent: int, group_bytes
     of_group = by_set.select("set", size.alias("bytes"), "rep").join(groups.select(F.col("node").alias("set"), F.col("label").alias("family")), "set")
     parts = of_group.groupBy("family").agg(F.ceil(F.sum("bytes") / group_bytes).cast("int").alias("parts"))
     placed = cut(of_group.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")))
-    tokens = by_set.select("set", "n", "tokens")
-    blocks = tokens.join(placed.select("set", "rep", "family", "part"), "set")
-    found = cut(blocks.groupBy("family", "part").applyInArrow(verify(percent), "`set` long, root long, first long"))
+    blocks = cut(by_set.select("set", "n", "tokens").join(placed.select("set", "rep", "family", "part", "parts"), "set"))
+    found = cut(blocks.select("set", "n", "tokens", "rep", "family", "part").groupBy("family", "part").applyInArrow(verify(percent), "`set` long, root long, first long"))
     split = placed.where("parts > 1")
     if split.isEmpty():
         return found.select("set", F.col("first").alias("label"))
     split = cut(split.join(found.select("set", "root"), "set"))
+    tokens = blocks.where("parts > 1").select("set", "n", "tokens")
 
     def met(split: DataFrame, guests: DataFrame) -> DataFrame:
         """Edges from guests (set, root, family, parts, chunk, chunks), which visit every block of their family in chunks."""
