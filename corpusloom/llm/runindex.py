@@ -3,7 +3,8 @@
 The strings are joined by separators that sort before every byte and among themselves by place.  Kept are the
 runs of the transform (symbol, first rank, where the last-to-first step lands) with a text position sampled at each
 run's two ends, and, for one window length, the ranks where a new class of equal windows begins with the smallest owner of each
-class.  All sizes follow the number of runs and classes, not the text.
+class.  These sizes follow the number of runs and classes, not the text; beside them two tables of four bytes a rank give its run and
+class in one step, as long as the strings are there anyway.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ class RunLengthIndex:
         head = np.flatnonzero((np.diff(before.astype(np.int32), prepend=-1) != 0) | (before == 0))  # a string's first suffix stands alone
         self.starts, self.symbols = head, before[head]
         counts = np.diff(head, append=n)
+        self.run_of = np.repeat(np.arange(len(head), dtype=np.int32), counts)
         by_symbol = np.argsort(self.symbols, kind="stable")
         below = np.cumsum(counts[by_symbol]) - counts[by_symbol]
         self.lands = np.empty(len(head), np.int64)
@@ -38,6 +40,7 @@ class RunLengthIndex:
         whole = left[order] >= window
         edge = np.flatnonzero(whole & ~(same & np.append(False, whole[:-1])))
         self.heads = edge
+        self.class_of = np.repeat(np.arange(-1, len(edge), dtype=np.int32), np.diff(np.concatenate([[0], edge, [n]])))
         owner = np.repeat(owners, self.lengths + 1)[order]
         # suffixes shorter than a window never fall between two of one class
         self.least = np.minimum.reduceat(np.where(whole, owner, np.iinfo(np.int64).max), edge) if len(edge) else np.zeros(0, np.int64)
@@ -77,7 +80,7 @@ class RunLengthIndex:
 
     def back(self, ranks: np.ndarray) -> np.ndarray:
         """The last-to-first step: ranks of the suffixes one byte longer."""
-        run = np.searchsorted(self.starts, ranks, "right") - 1
+        run = self.run_of[ranks]
         return self.lands[run] + ranks - self.starts[run]
 
     def stream(self) -> np.ndarray:
@@ -94,8 +97,7 @@ class RunLengthIndex:
             ranks[:active] = self.back(ranks[:active])
             if matched >= self.window:
                 some = by_length[:active]
-                at = np.searchsorted(self.heads, ranks[:active], "right") - 1
-                out[first[some] + self.lengths[some] - matched] = self.least[at]
+                out[first[some] + self.lengths[some] - matched] = self.least[self.class_of[ranks[:active]]]
         return out
 
     def locate(self, rank: int) -> int:
