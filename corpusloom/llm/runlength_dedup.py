@@ -79,7 +79,7 @@ def filed(data: np.ndarray, off: np.ndarray, window: int, gram: int, levels: np.
 
 
 #: Bytes of text for each bucket, to raise with larger executors.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: Bytes of text and number of strings that a task gathers before it sends each bucket its row, and strings in a row.  There is a row for
 #: each bucket and each gathering, so both sizes bound how the rows' number grows.
 GATHER_BYTES, GATHER_STRINGS, ROW_STRINGS = 32_000_000, 2_000_000, 200_000
@@ -104,8 +104,9 @@ def sent(held: list[tuple], window: int):
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     edges = np.append(first, len(bucket))
     edges = [k for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) for k in range(a, b, ROW_STRINGS)] + [len(bucket)]
-    for k in range(0, len(edges) - 1, 100):
-        spans = [slice(i, j) for i, j in zip(edges[k : k + 100], edges[k + 1 : k + 101])]
+    step = max(1, len(edges) * 100_000 // len(bucket))  # rows in a batch: of 3 MB or so
+    for k in range(0, len(edges) - 1, step):
+        spans = [slice(i, j) for i, j in zip(edges[k : k + step], edges[k + 1 : k + step + 1])]
         yield rows(schema, [
             [bucket[x.start] for x in spans],
             *([planes(of(x)) for x in spans] for of in (
