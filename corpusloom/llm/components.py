@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .frames import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, label): label is the smallest node reachable over edges (a, b); nodes without edges are absent.
 
     A large-star step hangs each node's greater neighbours on its least neighbour, a small-star step its lesser ones; once the edges are
-    stars around the least nodes they stay, and their checksum with them."""
-    now, before = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()), None
+    stars around the least nodes they stay, and their checksum with them.  Each round is written to at most `files` files."""
+    now, before = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), files), None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        now = cut(small, files)
         state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
         if state == before:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_ALNUM, buffers, covered, lower_ascii, pieces, same, word_hashes, words
-from .frames import cut, small_batches
+from .frames import buckets, cut, small_batches, text_bytes
 from .repeats import keyed, refuse
 
 WINDOW = 10
@@ -280,7 +280,7 @@ def dealt(items: DataFrame, window: int, block_chars: int) -> list[DataFrame]:
     """The items in blocks of at most about `block_chars` characters (one fine cell more, where a cell alone is larger)."""
     # a null id stays null, so it is never mistaken for an item of that name
     cut_ = items.select(F.col("item_id").cast("string").alias("_item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    pieces_ = cut(cut_.mapInArrow(cutter(window, max(block_chars // CELLS, 1)), "_item string, text string"))
+    pieces_ = cut(cut_.mapInArrow(cutter(window, max(block_chars // CELLS, 1)), "_item string, text string"), buckets(text_bytes(items), block_chars))
     chars = pieces_.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars <= block_chars:
         return [pieces_]

@@ -61,12 +61,15 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, written to the reliable checkpoint folder, its lineage ended and its shuffle files gone."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """The frame, written to the reliable checkpoint folder, its lineage ended and its shuffle files gone.
+
+    A checkpoint has a file for each partition, empty ones too, and on a local disk Hadoop starts two processes for each; `files`, which should
+    grow with the input, is the most that it gets."""
     spark = df.sparkSession
     shared_folder(spark)
     with shuffles_removed(spark):
-        return df.select("*").checkpoint(eager=True)
+        return (df.select("*") if files is None else df.coalesce(files)).checkpoint(eager=True)
 
 
 class Written:

@@ -461,13 +461,13 @@ def visited(percent: int):
     return run
 
 
-def renamed(placed: DataFrame, edges: DataFrame) -> DataFrame:
+def renamed(placed: DataFrame, edges: DataFrame, files: int) -> DataFrame:
     """The sets with classes that hang together over edges as one class."""
-    same = components(edges)
-    return cut(placed.join(same.select(F.col("node").alias("root"), F.col("label").alias("_to")), "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))
+    same = components(edges, files=files)
+    return cut(placed.join(same.select(F.col("node").alias("root"), F.col("label").alias("_to")), "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"), files)
 
 
-def group_labels(by_set: DataFrame, groups: DataFrame, percent: int, group_bytes: int) -> DataFrame:
+def group_labels(by_set: DataFrame, groups: DataFrame, percent: int, group_bytes: int, files: int) -> DataFrame:
     """(set, label): the smallest document that each set of a candidate group hangs together with over exact links.
 
     A group of more than `group_bytes` bytes of tokens is dealt to blocks by a hash of the set.  Links within a block are found there.
@@ -476,13 +476,13 @@ def group_labels(by_set: DataFrame, groups: DataFrame, percent: int, group_bytes
     size = F.length("tokens").cast("long")
     of_group = by_set.select("set", size.alias("bytes"), "rep").join(groups.select(F.col("node").alias("set"), F.col("label").alias("family")), "set")
     parts = of_group.groupBy("family").agg(F.ceil(F.sum("bytes") / group_bytes).cast("int").alias("parts"))
-    placed = cut(of_group.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")))
-    blocks = cut(by_set.select("set", "n", "tokens").join(placed.select("set", "rep", "family", "part", "parts"), "set"))
+    placed = cut(of_group.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")), files)
+    blocks = cut(by_set.select("set", "n", "tokens").join(placed.select("set", "rep", "family", "part", "parts"), "set"), files)
     found = cut(blocks.select("set", "n", "tokens", "rep", "family", "part").groupBy("family", "part").applyInArrow(verify(percent), "`set` long, root long, first long"))
     split = placed.where("parts > 1")
     if split.isEmpty():
         return found.select("set", F.col("first").alias("label"))
-    split = cut(split.join(found.select("set", "root"), "set"))
+    split = cut(split.join(found.select("set", "root"), "set"), files)
     tokens = blocks.where("parts > 1").select("set", "n", "tokens")
 
     def met(split: DataFrame, guests: DataFrame) -> DataFrame:
@@ -497,12 +497,12 @@ def group_labels(by_set: DataFrame, groups: DataFrame, percent: int, group_bytes
     classes = split.where(F.col("part") < PIVOTS).groupBy("family", "parts", "part", "root").count()
     pivots = classes.groupBy("family", "parts", "part").agg(F.max_by("root", F.struct("count", "root")).alias("root")).drop("part")
     pivots = pivots.withColumns({"set": F.col("root"), "chunk": F.lit(0), "chunks": F.lit(1)})
-    split = renamed(split, met(split, pivots))
+    split = renamed(split, met(split, pivots), files)
     largest = split.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("_root"))
     outside = split.join(largest, "family").where("root != _root").drop("_root")
     chunks = outside.groupBy("family").agg(F.ceil(F.sum("bytes") / group_bytes).cast("int").alias("chunks"))
     outside = outside.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(1)), "chunks").cast("int"))
-    split = renamed(split, met(split, outside))
+    split = renamed(split, met(split, outside), files)
     first = split.groupBy("root").agg(F.min("rep").alias("label"))
     whole = found.join(split.select("set"), "set", "left_anti").select("set", F.col("first").alias("label"))
     return whole.unionByName(split.join(first, "root").select("set", "label"))
@@ -526,16 +526,16 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     sets = sets.select("print", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.text_print").alias("text_print"))
     n = buckets(text_bytes(texts), bucket_bytes)
     tags = texts.where("doc_id is not null").mapInArrow(emit_tokens(shingle, n, TAG_BYTES), PACKED)
-    shared = cut(tags.groupBy("bucket").applyInArrow(count_shared(n), COUNTED).groupBy("part").applyInArrow(add_counts, "print long, n long"))
-    open_ = cut(sets.join(shared, "print").where(100 * F.col("n") >= percent * F.col("n_shingles")).select("print", "n_shingles", "rep", "text_print"))
+    shared = cut(tags.groupBy("bucket").applyInArrow(count_shared(n), COUNTED).groupBy("part").applyInArrow(add_counts, "print long, n long"), n)
+    open_ = cut(sets.join(shared, "print").where(100 * F.col("n") >= percent * F.col("n_shingles")).select("print", "n_shingles", "rep", "text_print"), n)
     mine = texts.join(open_.select(F.col("rep").alias("doc_id"), "text_print"), ["doc_id", "text_print"], "left_semi").dropDuplicates(["doc_id", "text_print"]).select("doc_id", "text")
     n = max(12, n // 2)
     classes = mine.mapInArrow(emit_tokens(shingle, n, 8), PACKED).groupBy("bucket").applyInArrow(classify(n), CLASSED)
     by_set = classes.groupBy("part").applyInArrow(assemble, "`set` long, tokens binary, frequent binary")
-    by_set = cut(by_set.join(open_.select(F.col("print").alias("set"), F.col("n_shingles").alias("n"), "rep"), "set").select("set", "n", "tokens", "frequent", "rep"))
+    by_set = cut(by_set.join(open_.select(F.col("print").alias("set"), F.col("n_shingles").alias("n"), "rep"), "set").select("set", "n", "tokens", "frequent", "rep"), n)
     keys = by_set.mapInArrow(emit_keys(percent, n), INDEXED)
-    groups = components(keys.groupBy("bucket").applyInArrow(joined_keys(percent), "a long, b long"))
-    found = cut(group_labels(by_set, groups, percent, group_bytes))
+    groups = components(keys.groupBy("bucket").applyInArrow(joined_keys(percent), "a long, b long"), files=n)
+    found = cut(group_labels(by_set, groups, percent, group_bytes, n), n)
     labels = sets.join(found.withColumnRenamed("set", "print"), "print", "left").select("print", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return meta.join(labels, ["print", "n_shingles"], "left").select("doc_id", "n_shingles", component, "text_print")

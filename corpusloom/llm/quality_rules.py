@@ -53,7 +53,7 @@ def thresholds(stats: DataFrame) -> DataFrame:
         F.count(F.when(~F.col("base_failed"), 1)).alias("n"),
         *(F.kll_sketch_agg_double(F.when(~F.col("base_failed"), F.col(k)), F.lit(SKETCH_K)).alias(k) for k in STATISTICS),
     )
-    own = cut(own)  # a row for each group
+    own = cut(own, stats.rdd.getNumPartitions())  # a row for each group
     merge = lambda by: own.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in STATISTICS))
     by_lang, whole = merge(["lang"]), merge([])
     mine, lang, all_ = own.alias("mine"), by_lang.alias("lang"), whole.alias("whole")

@@ -527,7 +527,7 @@ def repeated_spans(documents: DataFrame, window: int, rounds: int, chunk_bytes:
         old, state = state, Written(by(state.frame, "chunk").cogroup(by(replies, "chunk")).applyInArrow(take_symbols(n, window, k, rounds - k), STATE))
         old.remove()
     least = by(state.frame.mapInArrow(send_stretches(n, window), STRINGS), "bucket").applyInArrow(verified(window), LEAST)
-    spans = cut(by(state.frame, "chunk").cogroup(by(least, "chunk")).applyInArrow(marked(n, window), SPANS))
+    spans = cut(by(state.frame, "chunk").cogroup(by(least, "chunk")).applyInArrow(marked(n, window), SPANS), n)
     state.remove()
     return spans
 
